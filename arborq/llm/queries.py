@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from arborq.llm import licenses, sharding
+from arborq.llm import bpe, licenses, sharding
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
+    "op3_byte_bpe": bpe.op3_byte_bpe,
     "op9_license_scan": licenses.op9_license_scan,
 }
 ORACLE_SQL = {"op9_license_scan": licenses.OP9_SQL}
