@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from arborq.llm import bpe, licenses, sharding, topk, toxicity
+from arborq.llm import bpe, licenses, quality, sharding, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_sharding": sharding.op2_sharding,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op5_exact_topk": topk.op5_exact_topk,
+    "op6_quality": quality.op6_quality,
     "op9_license_scan": licenses.op9_license_scan,
 }
 ORACLE_SQL = {"op5_exact_topk": topk.OP5_SQL, "op9_license_scan": licenses.OP9_SQL}
