@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arborq.llm import bpe, licenses, quality, sharding, topk, toxicity
+from arborq.llm import bpe, licenses, mixing, quality, sharding, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,5 +11,6 @@ QUERIES = {
     "op5_exact_topk": topk.op5_exact_topk,
     "op6_quality": quality.op6_quality,
     "op9_license_scan": licenses.op9_license_scan,
+    "op10_mixing": mixing.op10_mixing,
 }
 ORACLE_SQL = {"op5_exact_topk": topk.OP5_SQL, "op9_license_scan": licenses.OP9_SQL}
