@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arborq.llm import bpe, licenses, mixing, quality, sharding, topk, toxicity
+from arborq.llm import bpe, html_text, licenses, mixing, quality, sharding, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op5_exact_topk": topk.op5_exact_topk,
     "op6_quality": quality.op6_quality,
+    "op7_html_text": html_text.op7_html_text,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_mixing": mixing.op10_mixing,
 }
