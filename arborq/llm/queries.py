@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arborq.llm import bpe, html_text, licenses, mixing, quality, sharding, topk, toxicity
+from arborq.llm import bpe, html_text, licenses, mixing, quality, sharding, topk, toxicity, vectors
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_exact_topk": topk.op5_exact_topk,
     "op6_quality": quality.op6_quality,
     "op7_html_text": html_text.op7_html_text,
+    "op8_embedding_dedup": vectors.op8_embedding_dedup,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_mixing": mixing.op10_mixing,
 }
