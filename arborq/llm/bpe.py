@@ -289,6 +289,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add a binary column with the bytes of the ids, each token's bytes put at its offset. Null ids give no bytes."""
+    encoded = encoded.drop(out)
     columns, at = encoded.columns, encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

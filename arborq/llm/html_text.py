@@ -307,8 +307,9 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """Replace the column of whole HTML texts by the main text of each; null and empty pages give an empty text.
 
-    Rows are worked on one by one, so repeated rows stay, and an empty table gives an empty result.
+    A column named as the result is replaced. Rows are worked on one by one, so repeated rows stay, and an empty table gives an empty result.
     """
+    pages = pages if out == html else pages.drop(out)
     columns, at = pages.columns, pages.columns.index(html)
     names = [out if c == html else c for c in columns]
 

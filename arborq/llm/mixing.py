@@ -109,12 +109,12 @@ def tempered_weights(docs: DataFrame, source: str = "source", power: float = 0.5
 
 
 def mix(docs: DataFrame, targets: dict[str, float], key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """Every row of docs with _pool, _rank (in its pool), _phase, _slot (gapless from 0), _release and _deadline.
+    """Every row of docs, as the struct `row`, with pool, rank (in the pool), phase, slot (gapless from 0), release and deadline.
 
     targets gives the weight of each source (MAX_POOLS at most, only ratios count); sources that are null
     or not listed share the pool `*`, with the least listed weight unless it is listed. A block is one row.
     Ranks follow a hash of the key and text, so repeated rows get ranks of their own and a null key is a key
-    like others. An empty table gives an empty result. _release and _deadline are the window of the row's
+    like others. An empty table gives an empty result. release and deadline are the window of the row's
     block in slots, counted as the schedule ran in its phase. Driver state: one count for each pool.
     """
     if len(targets) > MAX_POOLS:
@@ -123,8 +123,12 @@ def mix(docs: DataFrame, targets: dict[str, float], key: str = "doc_id", source:
     if REST not in shares:
         shares[REST] = min(shares.values(), default=1.0)
     weights = whole_weights(shares)
-    pooled = docs.withColumn("_pool", pool_of(F.col(source).cast("string"), [s for s in weights if s != REST]))
-    pooled = pooled.withColumn("_tie", F.xxhash64(F.col(key), F.col(text)))
+    pooled = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        pool_of(F.col(source).cast("string"), [s for s in weights if s != REST]).alias("_pool"),
+        F.xxhash64(F.col(key), F.col(text)).alias("_tie"),
+        F.col(key).alias("_key"),
+    )
     counts = {r["_pool"]: r["count"] for r in pooled.groupBy("_pool").count().collect()}
     plan = phases(weights, counts)
     spark = docs.sparkSession
@@ -142,7 +146,7 @@ def mix(docs: DataFrame, targets: dict[str, float], key: str = "doc_id", source:
         spans, "_phase int, s string, lo long, hi long, w int, size int, cycles long, start long, tail_start long"
     )
     place = spark.createDataFrame(places, "p int, ps string, kind int, k int, at int")
-    ranked = gapless_rank(pooled, ["_pool"], ["_tie", key], "_rank", spread=["_tie"])
+    ranked = gapless_rank(pooled, ["_pool"], ["_tie", "_key"], "_rank", spread=["_tie"])
     inside = F.col("_rank") - F.col("lo")
     turn = F.least(F.floor(inside / F.col("w")), F.col("cycles"))
     sited = ranked.join(F.broadcast(span), (F.col("_pool") == F.col("s")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
@@ -155,19 +159,18 @@ def mix(docs: DataFrame, targets: dict[str, float], key: str = "doc_id", source:
         .withColumn("_slot", (base + F.col("at")).cast("long"))
         .withColumn("_release", (cycle_start + F.floor(F.col("_k") * F.col("size") / F.col("w"))).cast("long"))
         .withColumn("_deadline", (cycle_start + F.ceil((F.col("_k") + 1) * F.col("size") / F.col("w"))).cast("long"))
-        .select(*docs.columns, "_pool", "_rank", "_phase", "_slot", "_release", "_deadline")
+        .select("row", *(F.col(f"_{c}").alias(c) for c in ("pool", "rank", "phase", "slot", "release", "deadline")))
     )
 
 
-def in_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
+def in_order(mixed: DataFrame) -> DataFrame:
     """The rows in slot order: part files of consecutive slots, each sorted. Slots are gapless, so parts are even."""
-    return mixed.repartitionByRange("_slot").sortWithinPartitions("_slot").select(*columns)
+    return mixed.repartitionByRange("slot").sortWithinPartitions("slot").select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     keyed = docs.select("doc_id", "source", F.xxhash64("text").alias("text"))
     return mix(keyed, tempered_weights(docs)).select(
-        "doc_id", F.col("source"), F.col("_pool").alias("pool"), F.col("_rank").alias("pool_rank"), F.col("_phase").alias("phase"),
-        F.col("_slot").alias("slot"), F.col("_release").alias("release"), F.col("_deadline").alias("deadline"),
-    )
+        "row.doc_id", "row.source", "pool", F.col("rank").alias("pool_rank"), "phase", "slot", "release", "deadline"
+    )

@@ -181,10 +181,9 @@ def _featured(batch: pa.RecordBatch, at: int) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "score") -> DataFrame:
-    """Add a score from 0 to 1 to every row; null texts count as empty, whose features are zeros."""
+    """Add a score from 0 to 1 to every row (a column of that name is replaced); null texts count as empty, whose features are zeros."""
+    docs = docs.drop(out)
     columns, at = docs.columns, docs.columns.index(text)
-    if out in columns:
-        raise ValueError(f"column {out} is there already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

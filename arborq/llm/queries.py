@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arborq.llm import bpe, html_text, licenses, mixing, quality, sharding, topk, toxicity, vectors
+from arborq.llm import bpe, html_text, licenses, mixing, near_dedup, quality, sharding, topk, toxicity, vectors
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_html_text": html_text.op7_html_text,
     "op8_embedding_dedup": vectors.op8_embedding_dedup,
     "op9_license_scan": licenses.op9_license_scan,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLE_SQL = {"op5_exact_topk": topk.OP5_SQL, "op9_license_scan": licenses.OP9_SQL}

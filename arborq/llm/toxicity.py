@@ -290,10 +290,9 @@ def _curve(total: np.ndarray, words: np.ndarray, y: np.ndarray, ridge: float = 0
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
-    """Add a score from 0 to 1 to every row; null and empty texts hold no entry and get the curve's lowest score."""
+    """Add a score from 0 to 1 to every row (a column of that name is replaced); null and empty texts hold no entry and get the curve's lowest score."""
+    docs = docs.drop(out)
     columns, at = docs.columns, docs.columns.index(text)
-    if out in columns:
-        raise ValueError(f"column {out} is there already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
