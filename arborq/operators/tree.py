@@ -103,11 +103,11 @@ def signatures(merged: DataFrame) -> DataFrame:
         "root", F.slice("chain", F.lit(1), F.col("n")).alias("above"),
         F.slice("chain", F.col("n") + 1, F.size("chain") - F.col("n")).alias("way"),
     )
-    summed = hashed.groupBy("root", "above").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("way")).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), "way")).alias("y")
+    summed = hashed.groupBy(F.col("root").alias("_r"), F.col("above").alias("_a")).agg(
+        F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("way")).alias("_x"), F.bit_xor(F.xxhash64(F.lit("second"), "way")).alias("_y")
     )
-    joined = merged.join(summed, (merged["root"] == summed["root"]) & (merged["chain"] == summed["above"]), "left").drop(summed["root"])
-    return joined.withColumn("signature", F.concat_ws(":", F.coalesce("n", F.lit(0)), F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0)))).drop("n", "x", "y", "above")
+    joined = merged.join(summed, (F.col("root") == F.col("_r")) & (F.col("chain") == F.col("_a")), "left")
+    return joined.withColumn("signature", F.concat_ws(":", *(F.coalesce(c, F.lit(0)) for c in ("_n", "_x", "_y")))).drop("_r", "_a", "_n", "_x", "_y")
 
 
 def cluster(merged: DataFrame) -> DataFrame:
