@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.utils import AnalysisException
 
 from arborq.operators.edges import delete, rename
 
@@ -36,19 +35,12 @@ def applied(edges: DataFrame, changes: DataFrame, parse) -> DataFrame:
 
 @dataclass(frozen=True)
 class EdgeTable:
-    """Versions of an edge table in a shared folder; the newest whole one is read."""
+    """Versions of an edge table in a shared folder; version n is the state after n micro-batches."""
 
     folder: str
 
-    def versions(self, spark: SparkSession) -> list[int]:
-        try:
-            names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "_SUCCESS").load(self.folder)
-            return sorted(int(r[0]) for r in names.select(F.regexp_extract("path", r"/v=(\d+)/", 1)).distinct().collect() if r[0])
-        except AnalysisException:
-            return []
-
-    def read(self, spark: SparkSession, version: int | None = None) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/v={version if version is not None else self.versions(spark)[-1]}")
+    def read(self, spark: SparkSession, version: int) -> DataFrame:
+        return spark.read.parquet(f"{self.folder}/v={version}")
 
     def write(self, edges: DataFrame, version: int) -> None:
         edges.write.mode("overwrite").parquet(f"{self.folder}/v={version}")
