@@ -488,3 +488,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(query, R, lambda r: shown(r, "sibling_rank", F.to_json("display").alias("display")))(spark, sf_dir)
 
 
+_BALANCE = "CASE WHEN c.acctbal = floor(c.acctbal) THEN c.acctbal::BIGINT::VARCHAR ELSE c.acctbal::VARCHAR END"
+add(
+    "flagship", flagship,
+    f"""{GRAPH}, {walk_sql('down', SR, 2)} SELECT {SHOWN.replace('path,', 'w.path,', 1)}, row_number() OVER (PARTITION BY root ORDER BY c.acctbal DESC, c.name, key) AS sibling_rank,
+'[{{"key":"name","value":"' || c.title || '"}},{{"key":"acctbal","value":"' || {_BALANCE} || '"}}]' AS display FROM walk w JOIN notes c ON c.path = w.path WHERE c.acctbal > 5000""",
+)

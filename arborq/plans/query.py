@@ -46,7 +46,10 @@ class Graph:
             values, kind, default = agg.table(self, rows.select("path").distinct())
             name = f"_agg{len(done)}"
             rows = rows.join(values.select(F.col("start").alias(f"{name}_start"), F.col("value").alias(name)), F.col("path") == F.col(f"{name}_start"), "left").drop(f"{name}_start")
-            done[id(agg)] = Value(kind, F.coalesce(F.col(name), default) if default is not None else F.col(name))
+            filled = F.col(name)
+            if default is not None:
+                filled = F.coalesce(filled, F.array().cast("array<string>") if default == () else F.lit(default))
+            done[id(agg)] = Value(kind, filled)
         return rows, replace(row, aggregates=done)
 
 
@@ -180,14 +183,14 @@ def _continued(graph: Graph, tips: DataFrame, targets: tuple, prune: Pruner | No
 
 @dataclass(frozen=True, eq=False)
 class SubQuery:
-    """An aggregate over the walk from each row's note. make(row) gives (aggregated column, kind) for the sub-walk's rows."""
+    """An aggregate over the walk from each row's note. make(value) gives (aggregated column, kind); default fills in for no rows."""
 
     source: object
     argument: Expr | None
     make: Callable[[Value | None], tuple[Column, str]]
-    default: Column | None
+    default: object
 
-    def table(self, graph: Graph, starts: DataFrame) -> tuple[DataFrame, str, Column | None]:
+    def table(self, graph: Graph, starts: DataFrame) -> tuple[DataFrame, str, object]:
         rows = _rows_of(graph, starts, self.source)
         value = None
         if self.argument is not None:
@@ -208,14 +211,14 @@ def _rows_of(graph: Graph, starts: DataFrame, source: object) -> DataFrame:
     return walk(graph, starts, items)
 
 
-def _aggregate(source: object, argument: Expr | None, make, default: Column | None) -> Expr:
+def _aggregate(source: object, argument: Expr | None, make, default: object) -> Expr:
     agg = SubQuery(source, argument, make, default)
     return Expr(lambda r: r.aggregates[id(agg)], frozenset(), (agg,))
 
 
 def count(source: object) -> Expr:
     """Nodes of the walk; a note on several branches counts each time."""
-    return _aggregate(source, None, lambda v: (F.count(F.lit(1)), "num"), F.lit(0))
+    return _aggregate(source, None, lambda v: (F.count(F.lit(1)), "num"), 0)
 
 
 def _numbers(v: Value) -> Column:
@@ -224,7 +227,7 @@ def _numbers(v: Value) -> Column:
 
 def total(source: object, argument: Expr) -> Expr:
     """Sum of the numbers; 0 if there are none."""
-    return _aggregate(source, argument, lambda v: (F.coalesce(F.sum(_numbers(v)), F.lit(0)), "num"), F.lit(0))
+    return _aggregate(source, argument, lambda v: (F.coalesce(F.sum(_numbers(v)), F.lit(0)), "num"), 0)
 
 
 def average(source: object, argument: Expr) -> Expr:
@@ -240,18 +243,18 @@ def greatest(source: object, argument: Expr) -> Expr:
 
 
 def any_of(source: object, condition: Expr) -> Expr:
-    return _aggregate(source, condition, lambda v: (F.bool_or(V.truth(v)), "bool"), F.lit(False))
+    return _aggregate(source, condition, lambda v: (F.bool_or(V.truth(v)), "bool"), False)
 
 
 def all_of(source: object, condition: Expr) -> Expr:
     """True where the walk is empty."""
-    return _aggregate(source, condition, lambda v: (F.bool_and(V.truth(v)), "bool"), F.lit(True))
+    return _aggregate(source, condition, lambda v: (F.bool_and(V.truth(v)), "bool"), True)
 
 
 def paths(source: object) -> Expr:
     """The walk's paths as an array in the order of the walk; empty, not null, where there are none."""
     make = lambda v: (F.transform(F.array_sort(F.collect_list(F.struct("key", "path"))), lambda x: x["path"]), "arr")
-    return _aggregate(source, None, make, F.array().cast("array<string>"))
+    return _aggregate(source, None, make, ())
 
 
 def run_all(graph: Graph, queries: list[Query], roots: DataFrame) -> dict[str, DataFrame]:
