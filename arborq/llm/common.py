@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -69,31 +68,27 @@ def gapless_rank(
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b) of longs: (node, component), component = smallest node of it.
 
-    Each round joins every node to its neighbours' labels, takes the least and then jumps one pointer
-    further (label of the label), so the rounds grow with the logarithm of the diameter. Nodes without
-    an edge are absent. Each round's labels are checkpointed, so a lost executor costs one round.
+    Each round hangs every node on its least smaller neighbour, follows the pointers to the trees' tops by
+    doubling, and puts the tops in place of the nodes: edges inside a tree go, so a star of any size is
+    settled in one round and no join meets its centre as a hot key. Nodes without an edge are absent. The
+    tables are checkpointed, so a lost executor costs a round.
     """
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("component", T.LongType())])
-    both = checkpointed(
-        edges.where("a <> b")
-        .select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
-        .select("e.a", "e.b")
-        .distinct()
-    )
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    rest = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    names = rest.where("false").select(F.col("u").alias("node"), F.col("v").alias("top"))
     for _ in range(max_rounds):
-        seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("least"))
-        lower = labels.join(seen, labels.node == seen.a).select(
-            "node", F.least("component", "least").alias("component"), F.col("component").alias("was")
-        )
-        roots = labels.select(F.col("node").alias("r"), F.col("component").alias("r_component"))
-        fresh = checkpointed(
-            lower.join(roots, lower.component == roots.r, "left").select(
-                "node", F.least("component", F.coalesce("r_component", "component")).alias("component"), "was"
-            )
-        )
-        changed = not fresh.where("component <> was").isEmpty()
-        labels = fresh.select("node", "component")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds: {schema.simpleString()}")
+        if rest.isEmpty():
+            tops = names.select(F.col("top").alias("node"), F.col("top").alias("component")).distinct()
+            return names.select("node", F.col("top").alias("component")).unionByName(tops)
+        up = checkpointed(rest.groupBy("u").agg(F.min("v").alias("p")))
+        moved = True
+        while moved:
+            above = up.select(F.col("u").alias("m"), F.col("p").alias("q"))
+            up = checkpointed(up.join(above, F.col("p") == F.col("m"), "left").select("u", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")))
+            moved = not up.where("moved").isEmpty()
+            up = up.select("u", "p")
+        lifted = names.join(up, F.col("top") == F.col("u"), "left").select("node", F.coalesce("p", "top").alias("top"))
+        names = checkpointed(lifted.unionByName(up.select(F.col("u").alias("node"), F.col("p").alias("top"))))
+        half = rest.join(up, "u").where("p <> v").select(F.col("p").alias("x"), "v").distinct()
+        both = half.join(up, F.col("v") == F.col("u"), "left").select("x", F.coalesce("p", "v").alias("y")).where("x <> y")
+        rest = checkpointed(both.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
