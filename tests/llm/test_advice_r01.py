@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from arborq.llm import near_dedup
 
@@ -28,3 +29,15 @@ def test_near_dedup_aligns_a_pair_of_one_band_behind_a_strange_hub(spark):
     a, b, hub = one_band_pair()
     rows = spark.createDataFrame([(1, hub), (2, a), (3, b)], "doc_id long, text string")
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(rows).collect()} == {1: 1, 2: 2, 3: 2}
+
+
+def test_near_dedup_meets_a_hot_bucket_in_bounded_groups(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PER_BLOCK", 8)
+    bands = [7] * near_dedup.BANDS
+    rows = [(0, 7, 0, i, 100, i, bands, bytearray(2 * near_dedup.BINS), 64) for i in range(64)]
+    opened = spark.createDataFrame(rows, "band int, key long, hub long, rep long, n long, c long, bands array<long>, bag binary, size long")
+    groups = near_dedup._blocked(opened)
+    assert groups.groupBy("band", "key", "lo", "hi").count().agg(F.max("count")).first()[0] < 40
+    sorted_ = groups.withColumn("bag", F.lit(None).cast("binary")).repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi")
+    met = [tuple(r) for turn in range(len(near_dedup.TURNS)) for r in sorted_.mapInArrow(near_dedup._due(turn), "a long, b long").collect()]
+    assert sorted(met) == [(a, b) for a in range(1, 64) for b in range(a + 1, 64)]
