@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from arborq.llm import bpe, mixing, near_dedup, quality, toxicity
-from arborq.llm.common import fresh_name, table
+from arborq.llm.common import checkpointed, fresh_name, table
 
 REJECT_TOXIC, ACCEPT_QUALITY = 0.5, quality.ACCEPT
 
@@ -37,6 +38,11 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, bpe.vocabulary())
 
 
+def scheduled(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, pool, slot) of every document: its place in the mix as columns, which outlive any reordering of rows."""
+    return mixing.mix(docs, mixing.tempered_weights(docs)).select("row.doc_id", "row.text", "pool", "slot")
+
+
 STAGES = [
     ("toxicity", without_toxic),
     ("quality", of_quality),
@@ -50,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages' corpus, each row with its pool and slot. Slots are unique, so encoded texts are joined by them."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for _, stage in STAGES[:-2]:
         docs = stage(spark, docs, sf_dir)
-    return docs
+    schedule = checkpointed(scheduled(docs))
+    coded = bpe.digests(schedule.select(F.col("slot").alias("doc_id"), "text"), bpe.vocabulary()).withColumnRenamed("doc_id", "slot")
+    return schedule.select("doc_id", "pool", "slot").join(coded, "slot").select("doc_id", "pool", "slot", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -5,6 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from arborq.llm import near_dedup
 
 
@@ -41,3 +42,19 @@ def test_near_dedup_meets_a_hot_bucket_in_bounded_groups(spark, monkeypatch):
     sorted_ = groups.withColumn("bag", F.lit(None).cast("binary")).repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi")
     met = [tuple(r) for turn in range(len(near_dedup.TURNS)) for r in sorted_.mapInArrow(near_dedup._due(turn), "a long, b long").collect()]
     assert sorted(met) == [(a, b) for a in range(1, 64) for b in range(a + 1, 64)]
+
+
+def test_pipeline_shows_the_mix_after_a_parquet_reread(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text number {i}", "en", "a" if i % 4 else "b", 1) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    same = lambda spark, docs, sf_dir: docs
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("none", same), *corpus_pipeline.STAGES[-2:]])
+
+    def first_of_b(weights):
+        monkeypatch.setattr(corpus_pipeline.mixing, "tempered_weights", lambda docs: weights)
+        corpus_pipeline.run(spark, str(tmp_path)).write.mode("overwrite").parquet(str(tmp_path / "out"))
+        got = spark.read.parquet(str(tmp_path / "out")).collect()
+        assert sorted(r["slot"] for r in got) == list(range(200)) and {r["doc_id"] for r in got} == set(range(200))
+        return sum(r["pool"] == "b" for r in got if r["slot"] < 50)
+
+    assert abs(first_of_b({"a": 1, "b": 1}) - 25) <= 1 and abs(first_of_b({"a": 4, "b": 1}) - 10) <= 1
