@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from arborq.llm import near_dedup
+from arborq.streaming import maintain
 
 
 def one_band_pair():
@@ -58,3 +59,23 @@ def test_pipeline_shows_the_mix_after_a_parquet_reread(spark, tmp_path, monkeypa
         return sum(r["pool"] == "b" for r in got if r["slot"] < 50)
 
     assert abs(first_of_b({"a": 1, "b": 1}) - 25) <= 1 and abs(first_of_b({"a": 4, "b": 1}) - 10) <= 1
+
+
+def test_stream_gives_the_same_table_for_one_batch_and_many(spark):
+    schema = "owner string, src string, dst string, relation string"
+    parse = lambda fresh: fresh.selectExpr("path owner", "path src", "content dst", "'up' relation")
+    rows = [
+        (1, "upsert", "x", None, "a", None), (2, "upsert", "a", None, "new", None), (3, "rename", "a", "b", None, None), (4, "upsert", "a", None, "again", None),
+        (5, "rename", "b", "c", None, None), (6, "upsert", "w", None, "a", None), (7, "delete", "d", None, None, None), (8, "rename", "d", "e", None, None), (9, "upsert", "d", None, "c", None),
+        (10, "upsert", "c", None, "newest", None),
+    ]
+    old = spark.createDataFrame([("a", "a", "old", "up"), ("d", "d", "k", "up"), ("k", "k", "d", "up"), ("k", "k", "a", "up")], schema)
+    edges = lambda df: sorted(tuple(r) for r in df.collect())
+    want = {("x", "c"), ("c", "newest"), ("a", "again"), ("w", "a"), ("d", "c"), ("k", "c")}
+    one = edges(maintain.applied(old, spark.createDataFrame(rows, maintain.CHANGES), parse))
+    assert {r[1:3] for r in one} == want and len(one) == len(want)
+    for cuts in ((2, 4, 9), (3, 5)):
+        now = old
+        for a, b in zip((0, *cuts), (*cuts, 10), strict=True):
+            now = spark.createDataFrame(maintain.applied(now, spark.createDataFrame(rows[a:b], maintain.CHANGES), parse).collect(), schema)
+        assert edges(now) == one
