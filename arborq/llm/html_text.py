@@ -23,6 +23,7 @@ from arborq.llm.common import table
 # HTML elements by their part in a page.
 DROPPED = frozenset("script style noscript template svg math iframe object embed canvas audio video head title select button textarea".split())
 RAW = frozenset("script style textarea title".split())
+HEAD_PARTS = frozenset("base basefont bgsound html link meta".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 "
@@ -97,6 +98,7 @@ def blocks_of(html: str) -> tuple[list[tuple[str, _Box, float]], list[_Box]]:
     parts: list[str] = []
     linked = links = dropped = 0
     skip: list[str] = []
+    inside: list[str] = []  # blocks open within the dropped elements
 
     def flush() -> None:
         nonlocal linked
@@ -111,6 +113,9 @@ def blocks_of(html: str) -> tuple[list[tuple[str, _Box, float]], list[_Box]]:
     while at < n:
         m = _TAG.search(html, at)
         text = html[at : m.start() if m else n]
+        if skip == ["head"] and text and not text.isspace():
+            skip.clear()
+            dropped = 0
         if text and not dropped:
             parts.append(text)
             if links:
@@ -122,6 +127,17 @@ def blocks_of(html: str) -> tuple[list[tuple[str, _Box, float]], list[_Box]]:
         if not tag:
             continue
         closing = bool(m[1] or m[4])
+        if skip and tag not in DROPPED:
+            # end tags of head may be left out; other unclosed dropped elements end with the block around them
+            if skip[-1] == "head" and not closing and tag not in HEAD_PARTS:
+                skip.pop()
+            elif closing and (tag in ("body", "html") or (tag in BLOCKS and tag not in inside and any(box.tag == tag for box in stack))):
+                skip.clear()
+            elif tag in BLOCKS and closing and tag in inside:
+                del inside[len(inside) - 1 - inside[::-1].index(tag) :]
+            elif tag in BLOCKS and not closing and tag != "hr":
+                inside.append(tag)
+            dropped = len(skip)
         if tag in DROPPED:
             if not closing and tag in RAW:
                 end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(html, at)
@@ -131,19 +147,20 @@ def blocks_of(html: str) -> tuple[list[tuple[str, _Box, float]], list[_Box]]:
                     while skip.pop() != tag:
                         pass
                     dropped = len(skip)
+                    if not skip:
+                        inside.clear()
             elif tag not in VOID and not (m[3] or "").endswith("/"):
                 skip.append(tag)
                 dropped = len(skip)
         elif dropped:
-            if closing and tag in ("body", "html"):
-                skip.clear()
-                dropped = 0
+            pass
         elif tag == "a":
-            links = 0 if closing else 1
+            links = 0 if closing else int(any(x[1].lower() == "href" for x in _ATTRIBUTE.finditer(m[3] or "")))
         elif tag == "br":
             parts.append(" ")
         elif tag in BLOCKS:
             flush()
+            inside.clear()
             if closing:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:

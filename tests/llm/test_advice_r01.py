@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from arborq.llm import near_dedup
+from arborq.llm import html_text, near_dedup
 from arborq.streaming import maintain
 
 
@@ -79,3 +79,15 @@ def test_stream_gives_the_same_table_for_one_batch_and_many(spark):
         for a, b in zip((0, *cuts), (*cuts, 10), strict=True):
             now = spark.createDataFrame(maintain.applied(now, spark.createDataFrame(rows[a:b], maintain.CHANGES), parse).collect(), schema)
         assert edges(now) == one
+
+
+def test_html_with_missing_end_tags():
+    line = "A long paragraph of the main text, with many words and a period at its end."
+    texts = lambda html: [x[0] for x in html_text.blocks_of(html)[0]]
+    for page in (f"<html><head><title>T</title><body><p>{line}</p></body>", f"<head><meta charset=utf-8><p>{line}", f"<head><title>T</title>{line}", f"<head><link rel=x><b>{line}</b>", f"<head><noscript><style>x</style></noscript><body><p>{line}"):
+        assert html_text.main_text(page) == line
+    for tag in ("noscript", "button", "select", "iframe", "object", "svg"):
+        assert texts(f"<body><div><p>one</p><{tag}>gone</div><p>two</p></body>") == ["one", "two"]
+        assert texts(f"<body><div><{tag}><div>gone</div>gone</{tag}>one</div></body>") == ["one"]
+    assert [x[2] for x in html_text.blocks_of(f"<p><a name=top>{line}</p><p>{line}</p>")[0]] == [0, 0]
+    assert [x[2] for x in html_text.blocks_of('<p><a href="/x">link</a></p>')[0]] == [1.0]
