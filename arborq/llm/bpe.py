@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +29,9 @@ OTHER, APOSTROPHE, LETTER, STMD, RV, E, L, NUMBER, WHITE, SPACE, END = range(11)
 BEGIN, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_WHITE, AFTER_SPACE, AFTER_APOSTROPHE, AFTER_SUFFIX, IN_SUFFIX = range(9)
 SYMBOLS, STATES = 11, 9
 BLOCK = 128
-WINDOW = 1_000_000
-CACHED_TOKENS, CACHED_LENGTH = 200_000, 48
+WINDOW = 1 << 17  # code points scanned, or ids decoded, at a time
+CACHED_BYTES, CACHED_LENGTH = 30_000_000, 48
+ENTRY_BYTES = 230  # about what an entry of the cache takes beside its text
 
 
 def _step(state: int, a: int, b: int) -> tuple[bool, int]:
@@ -184,22 +187,25 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 class _Cache(dict):
-    """Ids by piece, in two bounded generations, as pieces are without end: a full one becomes the old one."""
+    """Packed ids by piece, in two generations of at most CACHED_BYTES each, as pieces are without end: a full one becomes the old one."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = merge_pairs(piece.encode("utf-8", "surrogatepass"), self.ranks)
+            ids = array("i", merge_pairs(piece.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
         if len(piece) <= CACHED_LENGTH:
-            if len(self) >= CACHED_TOKENS:
+            if self.size >= CACHED_BYTES:
                 self.old = dict(self)
                 self.clear()
+                self.size = 0
             self[piece] = ids
+            self.size += ENTRY_BYTES + len(piece)
         return ids
 
 
@@ -207,9 +213,13 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _encode_long(text: str, cache: _Cache) -> list[int]:
+def _ids(cache: _Cache, pieces: Iterable[str]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(cache.__getitem__, pieces)), np.int32)
+
+
+def _encode_long(text: str, cache: _Cache) -> np.ndarray:
     """One text in windows. Scanning may begin afresh at any token start, so each window ends at a certain one."""
-    ids: list[int] = []
+    ids: list[np.ndarray] = []
     at, window = 0, WINDOW
     while at < len(text):
         part = text[at : at + window]
@@ -222,9 +232,9 @@ def _encode_long(text: str, cache: _Cache) -> list[int]:
                 continue
         else:
             starts.append(len(part))
-        ids.extend(chain.from_iterable(cache[part[a:b]] for a, b in zip(starts, starts[1:], strict=False)))
+        ids.append(_ids(cache, [part[a:b] for a, b in zip(starts, starts[1:], strict=False)]))
         at, window = at + starts[-1], WINDOW
-    return ids
+    return np.concatenate(ids) if ids else np.zeros(0, np.int32)
 
 
 def encode_texts(texts: list[str], ranks: dict[bytes, int], cache: _Cache | None = None) -> Iterator[list[np.ndarray]]:
@@ -233,7 +243,7 @@ def encode_texts(texts: list[str], ranks: dict[bytes, int], cache: _Cache | None
     i = 0
     while i < len(texts):
         if len(texts[i]) > WINDOW:
-            yield [np.array(_encode_long(texts[i], cache), np.int32)]
+            yield [_encode_long(texts[i], cache)]
             i += 1
             continue
         j, size = i, 0
@@ -249,66 +259,112 @@ def encode_texts(texts: list[str], ranks: dict[bytes, int], cache: _Cache | None
         pieces = [text[a:b] for a, b in zip(at, at[1:], strict=False)]
         found, done = [], 0
         for stop in of_text.tolist():
-            found.append(np.fromiter(chain.from_iterable(map(cache.__getitem__, pieces[done:stop])), np.int32))
+            found.append(_ids(cache, pieces[done:stop]))
             done = stop + 1
         yield found
         i = j
 
 
-def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.LargeListArray | pa.ListArray:
+class _Bytes:
+    """The bytes of each id, in one array with their places."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        size = np.zeros(max(ranks.values(), default=-1) + 2, np.int64)
+        for token, i in ranks.items():
+            size[i] = len(token)
+        self.size, self.first = size[:-1], np.cumsum(size) - size
+        self.blob = np.zeros(int(size.sum()), np.uint8)
+        for token, i in ranks.items():
+            self.blob[self.first[i] : self.first[i] + len(token)] = np.frombuffer(token, np.uint8)
+
+    def offsets(self, ids: np.ndarray) -> np.ndarray:
+        """The byte at which each id's bytes begin."""
+        length = self.size[ids]
+        return np.cumsum(length) - length
+
+    def decoded(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+        """The bytes of the ids, each token's put at its offset; a token ends where the next one begins."""
+        parts = []
+        for a in range(0, len(ids), WINDOW):
+            b = min(len(ids), a + WINDOW)
+            stop = offsets[b] if b < len(ids) else offsets[-1] + self.size[ids[-1]]
+            begin = offsets[a:b]
+            source = np.repeat(self.first[ids[a:b]] - begin, np.diff(begin, append=stop))
+            source += np.arange(begin[0], stop)
+            parts.append(self.blob[source].tobytes())
+        return b"".join(parts)
+
+
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     offsets = np.zeros(len(arrays) + 1, np.int32)
     np.cumsum([len(a) for a in arrays], out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else [], kind))
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", offsets: bool = True) -> DataFrame:
-    """(doc_id, ids, offsets): the ids of each whole text and the byte at which each id's bytes begin.
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most about WINDOW bytes of a text column, a row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + WINDOW, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
-    Null texts count as empty, which have no ids. Each row is encoded on its own, so repeated rows and keys
-    stay; an empty table gives an empty result. Nothing is shuffled.
-    """
+
+def _coded(docs: DataFrame, path: str, key: str, text: str, outputs: dict[str, str]) -> DataFrame:
+    """The key as doc_id and some of ids, offsets and decoded of each whole text; one pass, nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = read_ranks(path)
-        size = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
-        size[list(ranks.values())] = [len(t) for t in ranks]
-        cache = _Cache(ranks)
+        tokens, cache = _Bytes(ranks), _Cache(ranks)
         for batch in batches:
-            done = 0
-            for ids in encode_texts([t or "" for t in batch.column(1).to_pylist()], ranks, cache):
-                out = [batch.column(0).slice(done, len(ids)), _lists(ids, pa.int32())]
-                done += len(ids)
-                if offsets:
-                    out.append(_lists([np.cumsum(size[x]) - size[x] for x in ids], pa.int64()))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "offsets"][: len(out)])
+            for part in _slices(batch, 1):
+                done = 0
+                for ids in encode_texts([t or "" for t in part.column(1).to_pylist()], ranks, cache):
+                    out = {"doc_id": part.column(0).slice(done, len(ids)), "ids": _lists(ids, pa.int32())}
+                    done += len(ids)
+                    offsets = [tokens.offsets(x) for x in ids]
+                    if "offsets" in outputs:
+                        out["offsets"] = _lists(offsets, pa.int64())
+                    if "decoded" in outputs:
+                        out["decoded"] = pa.array([tokens.decoded(x, at) for x, at in zip(ids, offsets, strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_pydict({name: out[name] for name in ("doc_id", *outputs)})
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>" + ", offsets array<bigint>" * offsets)
+    return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{name} {kind}" for name, kind in outputs.items()))
+
+
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids, offsets): the ids of each whole text and the byte at which each id's bytes begin.
+
+    Null texts count as empty, which have no ids. Each row is encoded on its own, so repeated rows and keys
+    stay; an empty table gives an empty result. Nothing is shuffled. A worker holds a slice of a batch, the
+    vocabulary and a cache bounded in bytes, however many pieces it meets; a very long text is scanned in windows.
+    """
+    return _coded(docs, path, key, text, {"ids": "array<int>", "offsets": "array<bigint>"})
+
+
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): as `encode`, and each text's bytes decoded again from its ids and retained offsets, in the same pass."""
+    return _coded(docs, path, key, text, {"ids": "array<int>", "decoded": "binary"})
 
 
-def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, path: str, ids: str = "ids", offsets: str = "offsets", out: str = "decoded") -> DataFrame:
     """Add a binary column with the bytes of the ids, each token's bytes put at its offset. Null ids give no bytes."""
     encoded = encoded.drop(out)
-    columns, at = encoded.columns, encoded.columns.index(ids)
+    columns, at, begin = encoded.columns, encoded.columns.index(ids), encoded.columns.index(offsets)
+    none = np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = {i: t for t, i in read_ranks(path).items()}
-        tokens = [by_id.get(i, b"") for i in range(max(by_id, default=-1) + 1)]
-        blob = np.frombuffer(b"".join(tokens), np.uint8)
-        size = np.array([len(t) for t in tokens], np.int64)
-        first = np.cumsum(size) - size
+        tokens = _Bytes(read_ranks(path))
         for batch in batches:
             decoded = []
-            for x in batch.column(at):
-                these = x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int64)
-                part = []
-                for a in range(0, len(these), WINDOW):
-                    some = these[a : a + WINDOW]
-                    length = size[some]
-                    begin = np.cumsum(length) - length
-                    part.append(blob[np.repeat(first[some] - begin, length) + np.arange(int(length.sum()))].tobytes())
-                decoded.append(b"".join(part))
+            for x, o in zip(batch.column(at), batch.column(begin), strict=True):
+                these, places = (v.values.to_numpy(zero_copy_only=False) if v.is_valid else none for v in (x, o))
+                decoded.append(tokens.decoded(these, places))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*columns, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
@@ -316,8 +372,8 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    both = decode(encode(docs, path, offsets=False), path)
-    return both.select(
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row of docs, its ids decoded again."""
+    return round_trip(docs, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
