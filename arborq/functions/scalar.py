@@ -11,8 +11,10 @@ import re
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arborq.functions import values as V
 from arborq.functions.expr import Expr, Row, lit
@@ -40,6 +42,8 @@ def call(name: str, *args: Any) -> Expr:
     """The expression of a registered function; unknown names and wrong counts are errors at once."""
     if name.lower() not in _REGISTRY:
         raise ValueError(f"unknown function {name}")
+    if name.lower() == "matches" and len(args) in (2, 3) and all(isinstance(a, str) for a in args[1:]):
+        return match(*args)
     least, most, f, uses = _REGISTRY[name.lower()]
     if len(args) < least or (most is not None and len(args) > most):
         raise ValueError(f"{name} takes {least}{'' if most == least else ' or more' if most is None else f' to {most}'} arguments, not {len(args)}")
@@ -97,21 +101,52 @@ def _split(_: Row, s: Value, d: Value) -> Value:
     return Value("arr", F.when(V.text(d) == "", F.split(V.text(s), "")).otherwise(F.split(V.text(s), quoted, -1)))
 
 
+def _flagged(pattern: str, flags: str) -> str:
+    kept = "".join(c for c in "ims" if c in flags)
+    return f"(?{kept}){pattern}" if kept else pattern
+
+
+@F.pandas_udf(T.BooleanType())
+def _found(text: pd.Series, pattern: pd.Series, flags: pd.Series) -> pd.Series:
+    compiled: dict[str, re.Pattern | None] = {}
+    out = []
+    for t, p, f in zip(text, pattern, flags, strict=True):
+        p = _flagged(p, f)
+        if p not in compiled:
+            try:
+                compiled[p] = re.compile(p)
+            except re.error:
+                compiled[p] = None
+        out.append(compiled[p] is not None and compiled[p].search(t) is not None)
+    return pd.Series(out)
+
+
 @register("matches", 2, 3)
 def _matches(_: Row, s: Value, pattern: Value, flags: Value | None = None) -> Value:
-    """Unanchored regular expression; flags i, m and s. Patterns are checked by match()."""
-    inline = F.concat(F.lit("(?"), F.regexp_replace(V.text(flags), "[^ims]", ""), F.lit(")")) if flags else F.lit("")
-    inline = F.when(inline == "(?)", F.lit("")).otherwise(inline)
-    return _bool(F.regexp_like(V.text(s), F.concat(inline, V.text(pattern))))
+    """Unanchored regular expression that differs by row; flags i, m and s. An invalid one gives false."""
+    return _bool(_found(V.text(s), V.text(pattern), V.text(flags) if flags else F.lit("")))
 
 
-def match(s: Any, pattern: str, flags: str = "") -> Expr:
-    """matches() with a constant pattern: an invalid one gives false."""
+def _valid(pattern: str) -> bool:
+    """Is it a pattern of the engine that will run it?"""
+    session = SparkSession.getActiveSession()
     try:
-        re.compile(pattern)
-    except re.error:
+        if session is not None:
+            session.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+        else:
+            re.compile(pattern)
+    except Exception:  # noqa: BLE001  whatever the engine raises for a bad pattern
+        return False
+    return True
+
+
+def match(s: Any, pattern: str, flags: str = "") -> Expr:
+    """matches() with a constant pattern, inside generated code: an invalid one gives false."""
+    whole = _flagged(pattern, flags)
+    if not _valid(whole):
         return lit(False)
-    return call("matches", s, pattern, flags)
+    text = s if isinstance(s, Expr) else lit(s)
+    return Expr(lambda r: _bool(F.regexp_like(V.text(text.value(r)), F.lit(whole))), text.uses, text.aggregates)
 
 
 @register("len", 1)

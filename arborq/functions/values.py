@@ -21,8 +21,6 @@ class Value:
     col: Column
 
 
-
-
 def null() -> Value:
     return Value("null", F.lit(None).cast("string"))
 
@@ -57,10 +55,20 @@ def truth(v: Value) -> Column:
 
 
 def text_of_number(c: Column) -> Column:
-    """Whole numbers without a fraction part, others by their shortest form."""
+    """Shortest digits: without a fraction part if whole, in plain form from 1e-6 to below 1e21, else with an exponent."""
     d = c.cast("double")
-    whole = (d == F.floor(d).cast("double")) & (F.abs(d) < F.lit(1e15))
-    return F.when(whole, F.floor(d).cast("string")).otherwise(d.cast("string"))
+    size = F.abs(d)
+    short = d.cast("string")
+    whole = F.when(size < 1e15, F.floor(d).cast("string")).otherwise(short.cast("decimal(38,0)").cast("string"))
+    plain = F.regexp_replace(short.cast("decimal(38,22)").cast("string"), r"0+$", "")
+    exponent = F.replace(F.regexp_replace(F.replace(short, F.lit(".0E"), F.lit("E")), "E(?=[0-9])", "e+"), F.lit("E-"), F.lit("e-"))
+    return (
+        F.when(d == 0, F.lit("0"))
+        .when((d == F.floor(d).cast("double")) & (size < 1e18) | (size >= 1e18) & (size < 1e21), whole)
+        .when((size >= 1e-6) & (size < 1e15), plain)
+        .when(F.isnan(d) | (size == float("inf")), short)
+        .otherwise(exponent)
+    )
 
 
 def text(v: Value) -> Column:

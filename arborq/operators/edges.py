@@ -5,6 +5,8 @@ ord orders the edges of one source and relation; it is unique among these.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +30,16 @@ def _kept(edges: DataFrame, relation: str | None, label: str | None) -> DataFram
     return edges.where(F.col("label") == label) if label is not None else edges
 
 
-def backlinks(notes: DataFrame) -> DataFrame:
-    """(path, backlinks): for each link target the sorted notes that link to it."""
-    links = notes.select(F.col("path").alias("source"), F.explode("links").alias("target")).distinct()
+def backlink_rows(notes: DataFrame) -> DataFrame:
+    """(source, target): each note's link targets, once. The form for joins, as a target may have any number of sources."""
+    return notes.select(F.col("path").alias("source"), F.explode("links").alias("target")).distinct()
+
+
+def backlinks(notes: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+    """(path, backlinks): for each link target the sorted notes that link to it, as an array for notes that are shown (column path; default all)."""
+    links = backlink_rows(notes)
+    if shown is not None:
+        links = links.join(shown.select(F.col("path").alias("target")).distinct(), "target", "left_semi")
     return links.groupBy(F.col("target").alias("path")).agg(F.array_sort(F.collect_list("source")).alias("backlinks"))
 
 
@@ -57,13 +66,13 @@ def relation_types(edges: DataFrame, configured: list[str]) -> DataFrame:
     return first.unionByName(met)
 
 
-def ancestors(edges: DataFrame, roots: DataFrame, relations: list[str] | None = None, max_levels: int = 1000) -> DataFrame:
+def ancestors(edges: DataFrame, roots: DataFrame, relations: list[str] | None = None) -> DataFrame:
     """(root, path, depth, via, implied, implied_from): breadth-first along incoming edges, each note once for a root."""
     kept = edges.where(F.col("relation").isin(relations)) if relations else edges
     kept = kept.select(F.col("dst").alias("_at"), F.col("src").alias("path"), F.col("relation").alias("via"), "implied", "implied_from", "ord")
     start = roots.select(F.col("path").alias("root"), F.col("path")).distinct()
     seen, frontier, levels = start, start, []
-    for depth in range(1, max_levels + 1):
+    for depth in count(1):
         nearest = (
             frontier.select("root", F.col("path").alias("_at"))
             .join(kept, "_at")
@@ -76,6 +85,8 @@ def ancestors(edges: DataFrame, roots: DataFrame, relations: list[str] | None =
         levels.append(level)
         frontier = level.select("root", "path")
         seen = seen.unionByName(frontier)
+        if depth % 32 == 0:
+            seen = checkpointed(seen)
     none = start.where("false").select("root", "path", F.lit(0).alias("depth"), F.lit("").alias("via"), F.lit(False).alias("implied"), F.lit("").alias("implied_from"))
     out = none
     for level in levels:

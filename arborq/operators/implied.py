@@ -10,8 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from arborq.operators.common import ranked
 from arborq.operators.edges import EDGE_COLUMNS
 
 
@@ -75,5 +75,5 @@ def with_implied(edges: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def renumbered(edges: DataFrame) -> DataFrame:
     """Give ord its uniqueness within (src, relation): explicit edges first, then by the old ord and the target."""
-    w = Window.partitionBy("src", "relation").orderBy("implied", "ord", "dst", F.coalesce("label", F.lit("")))
-    return edges.withColumn("ord", F.row_number().over(w).cast("long"))
+    order = [F.col("implied").asc(), F.col("ord").asc(), F.col("dst").asc(), F.coalesce("label", F.lit("")).asc()]
+    return ranked(edges, ["src", "relation"], order, "_ord").withColumn("ord", F.col("_ord")).drop("_ord")

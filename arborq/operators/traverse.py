@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from arborq.functions.expr import Expr, Row
 from arborq.operators.common import checkpointed
 
 ROW = ["root", "key", "parent_key", "path", "relation", "label", "depth", "implied", "implied_from", "parent", "traversal_path"]
-UNROLLED = 3
+UNROLLED, FOLDED = 3, 32  # levels in one plan; levels kept apart before they become one table
 
 
 @dataclass(frozen=True)
@@ -74,12 +76,12 @@ def relevant(edges: DataFrame, rel: Rel) -> DataFrame:
     return kept.where(F.col("label") == rel.label) if rel.label is not None else kept
 
 
-def depth_first(start: DataFrame, edges: DataFrame, rel: Rel, prune: Pruner | None = None, max_levels: int = 10_000) -> DataFrame:
+def depth_first(start: DataFrame, edges: DataFrame, rel: Rel, prune: Pruner | None = None) -> DataFrame:
     """Every path from the starts that meets no note twice. `start` has root, key, path, anc (notes not to be met again)
     and shift (added to the ord of first steps, so that several items may start at one place).
 
     Levels are joins; up to UNROLLED levels are one plan, beyond that each level is checkpointed and an empty one ends the
-    walk. The number of paths is the size of the result.
+    walk, which without a depth goes on as long as it finds rows. The number of paths is the size of the result.
     """
     e = relevant(edges, rel)
     if prune is not None and prune.fixed:
@@ -88,9 +90,8 @@ def depth_first(start: DataFrame, edges: DataFrame, rel: Rel, prune: Pruner | No
     if rel.depth is None or rel.depth > UNROLLED:
         e = checkpointed(e)
     frontier = start.select("root", "key", "path", "anc", F.array("path").alias("traversal_path"), F.lit(0).alias("depth"), "shift")
-    limit = max_levels if rel.depth is None else rel.depth
     levels: list[DataFrame] = []
-    for _ in range(limit):
+    for _ in count() if rel.depth is None else range(rel.depth):
         step = frontier.join(e, F.col("path") == F.col("src")).where(~F.array_contains("anc", F.col("dst")))
         rows = step.select(
             "root", F.concat("key", F.array(F.col("ord") + F.col("shift"))).alias("key"), F.col("key").alias("parent_key"), F.col("dst").alias("path"), "relation", "label",
@@ -104,13 +105,16 @@ def depth_first(start: DataFrame, edges: DataFrame, rel: Rel, prune: Pruner | No
             if rows.isEmpty():
                 break
         levels.append(rows)
+        if len(levels) > FOLDED:
+            levels = [checkpointed(union(levels))]
         frontier = rows.select("root", "key", "path", "anc", "traversal_path", "depth", F.lit(0).cast("long").alias("shift"))
     if not levels:
         return _none(start)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+    return union(levels)
+
+
+def union(levels: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, levels)
 
 
 def _none(start: DataFrame) -> DataFrame:
@@ -121,7 +125,7 @@ def _none(start: DataFrame) -> DataFrame:
     )
 
 
-def breadth_first(start: DataFrame, edges: DataFrame, rel: Rel, prune: Pruner | None = None, max_levels: int = 10_000) -> DataFrame:
+def breadth_first(start: DataFrame, edges: DataFrame, rel: Rel, prune: Pruner | None = None) -> DataFrame:
     """Each note reached once for a start, at its first discovery; all rows are at the top with depth 1.
 
     Of a level's paths to a note the least key wins, which is the order of a queue; this is a min over groups,
@@ -131,9 +135,8 @@ def breadth_first(start: DataFrame, edges: DataFrame, rel: Rel, prune: Pruner |
     base = start.select("root", F.col("key").alias("base"), F.col("path").alias("from"))
     frontier = start.select("root", F.col("key").alias("base"), F.array().cast("array<bigint>").alias("walk"), "path", F.array("path").alias("traversal_path"), "shift")
     seen = frontier.select("root", "base", "path")
-    limit = max_levels if rel.depth is None else max(1, rel.depth)
     levels, parents = [], []
-    for level in range(1, limit + 1):
+    for level in count(1) if rel.depth is None else range(1, max(1, rel.depth) + 1):
         met = frontier.join(e, F.col("path") == F.col("src")).select(
             "root", "base", F.col("dst").alias("path"),
             F.struct(
@@ -147,6 +150,8 @@ def breadth_first(start: DataFrame, edges: DataFrame, rel: Rel, prune: Pruner |
             break
         parents.append(new.select("root", "base", F.col("parent").alias("path")).distinct())
         seen = seen.unionByName(new.select("root", "base", "path"))
+        if level % FOLDED == 0:
+            seen, levels, parents = checkpointed(seen), [checkpointed(union(levels))] if levels else [], [checkpointed(union(parents))]
         if prune is not None:
             shown = new.join(base, ["root", "base"]).withColumn("depth", F.lit(1))
             new = checkpointed(prune.rows(shown).drop("from", "depth"))
@@ -154,13 +159,8 @@ def breadth_first(start: DataFrame, edges: DataFrame, rel: Rel, prune: Pruner |
         frontier = new.select("root", "base", "walk", "path", "traversal_path", F.lit(0).cast("long").alias("shift"))
     if not levels:
         return _none(start).withColumn("leaf", F.lit(True)).drop("anc")
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
-    busy = parents[0]
-    for more in parents[1:]:
-        busy = busy.unionByName(more)
-    out = out.join(busy.withColumn("busy", F.lit(True)), ["root", "base", "path"], "left").join(base, ["root", "base"])
+    busy = union(parents)
+    out = union(levels).join(busy.withColumn("busy", F.lit(True)), ["root", "base", "path"], "left").join(base, ["root", "base"])
     return out.select(
         "root", F.concat("base", F.array("level"), "walk").alias("key"), F.when(F.size("base") > 1, F.col("base")).alias("parent_key"), "path", "relation", "label",
         F.lit(1).alias("depth"), "implied", "implied_from", F.col("from").alias("parent"), "traversal_path", F.col("busy").isNull().alias("leaf"),

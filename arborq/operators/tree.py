@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from arborq.functions import values as V
 from arborq.functions.expr import Expr, Row
 from arborq.operators.common import ranked
+from arborq.operators.traverse import ROW
 
 
 def prefixes(key: Column, above: Column) -> Column:
@@ -76,18 +77,21 @@ def chains(rows: DataFrame, what: str = "path", out: str = "chain") -> DataFrame
 
 
 def merge_by_path(rows: DataFrame) -> DataFrame:
-    """Siblings of one path become one row, and their children one set: (root, chain, path, relations, implied, implied_from, first).
+    """Siblings of one path become one row, and their children one set: (root, chain, path, relations, implied, implied_from, first, kept).
 
     Merged rows are told apart by the chain of paths that leads to them. relations are the sorted distinct
-    relation[.label]; implied only if all are; implied_from is that of the first; first is the least key.
+    relation[.label]; implied only if all are, and only then with the implied_from of the first; first is the least key.
+    kept has the first one's display and the columns of its note, where rows have any.
     """
+    extra = [c for c in rows.columns if c not in (*ROW, "has_filtered_ancestor", "sibling_rank")]
     named = chains(rows).withColumn("name", F.when(F.col("label").isNotNull(), F.concat_ws(".", "relation", "label")).otherwise(F.col("relation")))
     return named.groupBy("root", "chain").agg(
         F.element_at(F.min("chain"), -1).alias("path"),
         F.array_sort(F.collect_set("name")).alias("relations"),
         F.bool_and("implied").alias("implied"),
-        F.min_by("implied_from", "key").alias("implied_from"),
+        F.when(F.bool_and("implied"), F.min_by("implied_from", "key")).alias("implied_from"),
         F.min("key").alias("first"),
+        *([F.min_by(F.struct(*(F.col(f"`{c}`") for c in extra)), "key").alias("kept")] if extra else []),
     )
 
 
@@ -117,6 +121,32 @@ def cluster(merged: DataFrame) -> DataFrame:
     return signed.join(groups, ["root", "up", "relations", "signature"]).drop("up")
 
 
+def subgroups(clustered: DataFrame) -> DataFrame:
+    """What is shown below each group: the groups of its first member's children, as all members have equal ones.
+
+    Of clustered rows those stay whose chain leads through first members only: (root, chain, path, relations, group_first, members).
+    """
+    led = clustered.where(F.col("first") == F.col("group_first")).select("root", F.col("chain").alias("_above"))
+    inner = clustered.where(F.size("chain") > 1)
+    each = inner.select("root", "chain", F.explode(F.transform(F.sequence(F.lit(1), F.size("chain") - 1), lambda n: F.slice("chain", F.lit(1), n))).alias("_above"))
+    lost = each.join(led, ["root", "_above"], "left_anti").select("root", "chain").distinct()
+    return clustered.join(lost, ["root", "chain"], "left_anti").select("root", "chain", "path", "relations", "group_first", "members")
+
+
+def as_shown(rows: DataFrame, directions: dict[str, str]) -> DataFrame:
+    """(root, tip, place, path): each root's tree from the top down, or inverted where its first top row's relation ascends.
+
+    directions gives a relation's way, `descending` where it has none.
+    """
+    top = rows.where(F.col("parent_key").isNull()).groupBy("root").agg(F.min_by("relation", "key").alias("relation"))
+    ways = F.create_map(*(F.lit(x) for pair in directions.items() for x in pair)) if directions else F.create_map().cast("map<string,string>")
+    rising = top.where(F.coalesce(F.element_at(ways, F.col("relation")), F.lit("descending")) == "ascending").select("root")
+    merged = merge_by_path(rows)
+    up = invert(merged.join(rising, "root", "left_semi"))
+    down = invert(merged.join(rising, "root", "left_anti"))
+    return up.unionByName(down.withColumn("place", F.size("tip") - 1 - F.col("place")))
+
+
 def invert(merged: DataFrame) -> DataFrame:
     """Ascending view: one chain for each leaf, from the leaf (place 0) up to its top."""
     inner = merged.where(F.size("chain") > 1).select("root", F.slice("chain", F.lit(1), F.size("chain") - 1).alias("chain")).distinct()

@@ -16,6 +16,8 @@ from arborq.operators.traverse import Rel
 from arborq.plans import query as Q
 from arborq.plans.query import Graph, Query
 from arborq.sources import inline, tables
+from arborq.sources import notes as N
+from arborq.sources.frontmatter import parse_front_matter
 
 Call = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Call] = {}
@@ -43,25 +45,25 @@ EDGES = """up AS (
   UNION ALL SELECT dst, src, 'down', NULL, true, 'up', ord FROM up
 )"""
 GRAPH = f"WITH RECURSIVE {NOTES}, {EDGES}"
-SHOWN = "root, path, relation, label, depth::INTEGER AS depth, implied, parent, array_to_string(trail, '>') AS trail, array_to_string(key, '.') AS place"
+SHOWN = "root, path, relation, label, depth::INTEGER AS depth, implied, parent, array_to_string(route, '>') AS route, array_to_string(key, '.') AS place"
 
 
 def walk_sql(rel: str, start: str, depth: int = 99, label: str | None = None, prune: str = "false", name: str = "walk", item: int = 0) -> str:
     """A recursive CTE of all paths along a relation; prune is a condition on the candidate note c."""
     kept = f"e.relation = '{rel}'" + (f" AND e.label = '{label}'" if label else "") + f" AND NOT coalesce({prune}, false)"
     return f"""{name} AS (
-  SELECT s.path AS root, e.dst AS path, e.relation, e.label, 1 AS depth, e.implied, s.path AS parent, [s.path, e.dst] AS trail, [{item}::BIGINT, e.ord] AS key
+  SELECT s.path AS root, e.dst AS path, e.relation, e.label, 1 AS depth, e.implied, s.path AS parent, [s.path, e.dst] AS route, [{item}::BIGINT, e.ord] AS key
   FROM notes s JOIN edges e ON e.src = s.path JOIN notes c ON c.path = e.dst WHERE {start} AND {kept} AND {depth} > 0
   UNION ALL
-  SELECT w.root, e.dst, e.relation, e.label, w.depth + 1, e.implied, w.path, list_append(w.trail, e.dst), list_append(w.key, e.ord)
-  FROM {name} w JOIN edges e ON e.src = w.path JOIN notes c ON c.path = e.dst WHERE {kept} AND NOT list_contains(w.trail, e.dst) AND w.depth < {depth}
+  SELECT w.root, e.dst, e.relation, e.label, w.depth + 1, e.implied, w.path, list_append(w.route, e.dst), list_append(w.key, e.ord)
+  FROM {name} w JOIN edges e ON e.src = w.path JOIN notes c ON c.path = e.dst WHERE {kept} AND NOT list_contains(w.route, e.dst) AND w.depth < {depth}
 )"""
 
 
 def shown(rows: DataFrame, *more) -> DataFrame:
     """A result's rows with arrays as texts."""
     return rows.select(
-        "root", "path", "relation", "label", "depth", "implied", "parent", F.concat_ws(">", "traversal_path").alias("trail"), F.concat_ws(".", "key").alias("place"), *more
+        "root", "path", "relation", "label", "depth", "implied", "parent", F.concat_ws(">", "traversal_path").alias("route"), F.concat_ws(".", "key").alias("place"), *more
     )
 
 
@@ -109,36 +111,39 @@ add(
 )
 
 
-def _siblings(spark: SparkSession, sf_dir: str) -> Graph:
-    """Nations of one region are tied by `same`, both ways."""
-    up = tables.up_edges(spark, sf_dir, ("region", "nation"))
-    tied = implied.with_implied(up, [implied.Rule("up", "same", "sibling")])
-    numbered = tied.where("relation = 'same'").withColumn("ord", F.regexp_extract("dst", r"(\d+)\.md", 1).cast("long"))
-    return Graph(tables.notes(spark, sf_dir, ("region", "nation")), numbered)
+def _near(spark: SparkSession, sf_dir: str) -> Graph:
+    """Events of a user, each tied to the one before and the one after by `near`: every walk could turn back."""
+    graph = tables.sequences(spark, sf_dir)
+    tied = implied.with_implied(graph.edges.where("relation = 'next'"), [implied.Rule("next", "near", "both")])
+    return Graph(graph.notes, implied.renumbered(tied.where("relation = 'near'")))
 
 
-SAME = f"""WITH RECURSIVE {NOTES}, edges AS (
-  SELECT 'nation/' || a.n_nationkey || '.md' AS src, 'nation/' || b.n_nationkey || '.md' AS dst, 'same' AS relation, NULL::VARCHAR AS label, true AS implied, b.n_nationkey::BIGINT AS ord
-  FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey)"""
+NUMBERED = "WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, 'events/' || event_id || '.md' AS path FROM events)"
 
 
 def _cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = _siblings(spark, sf_dir)
-    return shown(Query("Cycle", Rel("same")).run(graph, roots(graph, "folder = 'nation'")))
+    graph = _near(spark, sf_dir)
+    return Query("Cycle", Rel("near", depth=4)).run(graph, roots(graph, "type = 'signup'")).select("root", "path", "relation", "depth", "implied", "parent")
 
 
-add("traverse_cycle_safe", _cycles, f"{SAME}, {walk_sql('same', 's.folder = ' + repr('nation'))} SELECT {SHOWN} FROM walk")
+add("traverse_cycle_safe", _cycles, f"""{NUMBERED}
+SELECT a.path AS root, b.path AS path, 'near' AS relation, abs(b.i - a.i)::INTEGER AS depth, true AS implied, p.path AS parent
+FROM numbered a JOIN numbered b ON a.user_id = b.user_id AND a.event_type = 'signup' AND abs(b.i - a.i) BETWEEN 1 AND 4
+JOIN numbered p ON p.user_id = b.user_id AND p.i = b.i - sign(b.i - a.i)""")
 
 
 def _bfs_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = _siblings(spark, sf_dir)
-    return Query("Flat", Rel("same", flatten=True)).run(graph, roots(graph, "folder = 'nation'")).select("root", "path", "depth", "parent", F.size("traversal_path").alias("steps"))
+    graph = _near(spark, sf_dir)
+    rows = Query("Flat", Rel("near", flatten=True, depth=6)).run(graph, roots(graph, "type = 'signup'"))
+    return rows.select("root", "path", "depth", "parent", F.size("traversal_path").alias("steps"))
 
 
-add("flatten_bfs_cycles", _bfs_cycles, f"{SAME} SELECT src AS root, dst AS path, 1 AS depth, src AS parent, 2 AS steps FROM edges")
+add("flatten_bfs_cycles", _bfs_cycles, f"""{NUMBERED}
+SELECT a.path AS root, b.path AS path, 1 AS depth, a.path AS parent, abs(b.i - a.i)::INTEGER + 1 AS steps
+FROM numbered a JOIN numbered b ON a.user_id = b.user_id AND a.event_type = 'signup' AND abs(b.i - a.i) BETWEEN 1 AND 6""")
 add(
-    "flatten_bfs", run(Query("Flat", Rel("down", flatten=True)), R, lambda r: r.select("root", "path", "depth", "parent", F.concat_ws(">", "traversal_path").alias("trail"))),
-    f"{GRAPH}, {walk_sql('down', SR)} SELECT root, path, 1 AS depth, root AS parent, array_to_string(trail, '>') AS trail FROM walk",
+    "flatten_bfs", run(Query("Flat", Rel("down", flatten=True)), R, lambda r: r.select("root", "path", "depth", "parent", F.concat_ws(">", "traversal_path").alias("route"))),
+    f"{GRAPH}, {walk_sql('down', SR)} SELECT root, path, 1 AS depth, root AS parent, array_to_string(route, '>') AS route FROM walk",
 )
 add(
     "flatten_partial", run(Query("Partly flat", Rel("down", flatten=1)), R, lambda r: shown(r, F.concat_ws(".", "parent_key").alias("above"))),
@@ -156,8 +161,8 @@ SELECT {SHOWN.replace('root, path', 'k.root, path').replace('(key', '(k.key')},
 FROM kept k LEFT JOIN nearest n ON n.root = k.root AND n.key = k.key""",
 )
 _CHAINED = f"""{GRAPH}, {walk_sql('up', SC, 1)},
-second AS (SELECT w.root, e.dst AS path, e.relation, e.label, 1 AS depth, e.implied, w.path AS parent, [w.path, e.dst] AS trail, list_append(w.key, e.ord) AS key
-  FROM walk w JOIN edges e ON e.src = w.path AND e.relation = 'up' AND NOT list_contains(w.trail, e.dst))
+second AS (SELECT w.root, e.dst AS path, e.relation, e.label, 1 AS depth, e.implied, w.path AS parent, [w.path, e.dst] AS route, list_append(w.key, e.ord) AS key
+  FROM walk w JOIN edges e ON e.src = w.path AND e.relation = 'up' AND NOT list_contains(w.route, e.dst))
 SELECT {SHOWN} FROM walk UNION ALL SELECT {SHOWN} FROM second"""
 add("chain_relation", run(Query("Then", Rel("up", depth=1) >> Rel("up", depth=1)), C), _CHAINED)
 add("chain_group", run(Query("Then group", Rel("up", depth=1) >> "Above"), C, groups={"Above": Query("Above", Rel("up", depth=1), where=lit(False))}), _CHAINED)
@@ -165,7 +170,7 @@ add(
     "chain_inline",
     run(Query("Then inline", Rel("down", depth=1) >> Query("", Rel("down", depth=1), where=prop("acctbal") > 9000)), R),
     f"""{GRAPH}, {walk_sql('down', SR, 1)},
-second AS (SELECT w.root, e.dst AS path, e.relation, e.label, 1 AS depth, e.implied, w.path AS parent, [w.path, e.dst] AS trail, list_append(w.key, e.ord) AS key
+second AS (SELECT w.root, e.dst AS path, e.relation, e.label, 1 AS depth, e.implied, w.path AS parent, [w.path, e.dst] AS route, list_append(w.key, e.ord) AS key
   FROM walk w JOIN edges e ON e.src = w.path AND e.relation = 'down' JOIN notes c ON c.path = e.dst AND c.acctbal > 9000)
 SELECT {SHOWN} FROM walk UNION ALL SELECT {SHOWN} FROM second""",
 )
@@ -192,38 +197,37 @@ JOIN numbered b0 ON b0.user_id = b.user_id AND b0.i = b.i - 1""")
 RULED = "SELECT src, dst, relation, label, implied, implied_from"
 
 
-def rules(name: str, rule: implied.Rule, sql: str, levels: tuple[str, ...] = ("region", "nation")) -> None:
+def rules(name: str, rule: implied.Rule, sql: str, levels: tuple[str, ...] = tables.LEVELS) -> None:
     def call(spark: SparkSession, sf_dir: str) -> DataFrame:
         return implied.with_implied(tables.up_edges(spark, sf_dir, levels), [rule]).drop("ord")
 
-    explicit = "SELECT src, dst, 'up' AS relation, label, false AS implied, NULL::VARCHAR AS implied_from FROM up"
+    explicit = "SELECT src, dst, 'up' AS relation, label, false AS implied, NULL::VARCHAR AS implied_from FROM few"
     kept = f"WHERE {' OR '.join(f'src LIKE {(x + chr(47) + chr(37))!r}' for x in levels)}"
-    add(name, call, f"WITH {EDGES}, few AS (SELECT * FROM up {kept}) {explicit.replace('FROM up', 'FROM few')} UNION ALL {sql}")
+    add(name, call, f"WITH {EDGES}, few AS (SELECT * FROM up {kept}) {explicit} UNION ALL {sql}")
 
 
-rules("implied_forward", implied.Rule("up", "above", "forward"), "SELECT src, dst, 'above', NULL, true, 'up' FROM few", ("region", "nation", "customer", "orders"))
-rules("implied_reverse", implied.Rule("up", "down", "reverse"), "SELECT dst, src, 'down', NULL, true, 'up' FROM few", ("region", "nation", "customer", "orders"))
-rules(
-    "implied_both", implied.Rule("up", "near", "both"), "SELECT src, dst, 'near', NULL, true, 'up' FROM few UNION ALL SELECT dst, src, 'near', NULL, true, 'up' FROM few",
-    ("region", "nation", "customer"),
-)
+rules("implied_forward", implied.Rule("up", "above", "forward"), "SELECT src, dst, 'above', NULL, true, 'up' FROM few")
+rules("implied_reverse", implied.Rule("up", "down", "reverse"), "SELECT dst, src, 'down', NULL, true, 'up' FROM few")
+rules("implied_both", implied.Rule("up", "near", "both"), "SELECT src, dst, 'near', NULL, true, 'up' FROM few UNION ALL SELECT dst, src, 'near', NULL, true, 'up' FROM few")
+# Sibling rules fan out with the square of a note's edges: the relation is the one from orders to their customer.
 rules(
     "implied_sibling_target", implied.Rule("up", "same", "sibling"),
-    "SELECT DISTINCT a.src, b.src, 'same', NULL, true, 'up' FROM few a JOIN few b ON a.dst = b.dst AND a.src <> b.src", ("region", "nation", "supplier"),
+    "SELECT DISTINCT a.src, b.src, 'same', NULL, true, 'up' FROM few a JOIN few b ON a.dst = b.dst AND a.src <> b.src", ("orders",),
 )
 
 
 def _by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    down = tables.hierarchy(spark, sf_dir, ("region", "nation", "supplier")).edges.where("relation = 'down'").withColumn("implied", F.lit(False))
-    return implied.with_implied(down, [implied.Rule("down", "same", "sibling")]).where("implied").select("src", "dst", "relation", "implied_from")
+    down = implied.with_implied(tables.up_edges(spark, sf_dir, ("orders",)), tables.RULES).where("relation = 'down'").withColumn("implied", F.lit(False))
+    return implied.with_implied(down, [implied.Rule("down", "same", "sibling")]).drop("ord")
 
 
-add("implied_sibling_source", _by_source, f"""WITH {EDGES}, few AS (SELECT * FROM up WHERE src LIKE 'nation/%' OR src LIKE 'supplier/%')
-SELECT a.src, b.src AS dst, 'same' AS relation, 'down' AS implied_from FROM few a JOIN few b ON a.dst = b.dst AND a.src <> b.src""")
+add("implied_sibling_source", _by_source, f"""WITH {EDGES}, few AS (SELECT * FROM up WHERE src LIKE 'orders/%')
+SELECT dst AS src, src AS dst, 'down' AS relation, NULL AS label, false AS implied, 'up' AS implied_from FROM few
+UNION ALL SELECT a.src, b.src AS dst, 'same', NULL, true, 'down' FROM few a JOIN few b ON a.dst = b.dst AND a.src <> b.src""")
 
 
 def _suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    up = tables.up_edges(spark, sf_dir, ("region", "nation", "customer"))
+    up = tables.up_edges(spark, sf_dir)
     some = up.where(F.col("ord") % 3 == 0).select(
         F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("down").alias("relation"), F.lit("given").alias("label"), "implied", "implied_from", "ord"
     )
@@ -231,7 +235,7 @@ def _suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("implied_suppression", _suppressed, f"""WITH {EDGES} SELECT dst AS src, src AS dst, 'down' AS relation, CASE WHEN ord % 3 = 0 THEN 'given' END AS label,
-ord % 3 <> 0 AS implied, CASE WHEN ord % 3 <> 0 THEN 'up' END AS implied_from FROM up WHERE src LIKE 'nation/%' OR src LIKE 'customer/%'""")
+ord % 3 <> 0 AS implied, CASE WHEN ord % 3 <> 0 THEN 'up' END AS implied_from FROM up""")
 
 
 def graph_query(name: str, call: Callable[[Graph], DataFrame], sql: str) -> None:
@@ -413,14 +417,14 @@ for _name, _expr, _sql in (
 
 
 def _backlinks_fn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = tables.notes(spark, sf_dir, ("region", "nation", "customer"))
+    notes = tables.notes(spark, sf_dir)
     both = notes.join(E.backlinks(notes), "path", "left")
     return both.select("path", F.concat_ws("|", f("backlinks").value(Row.of(both)).col).alias("value"))
 
 
-add("fn_backlinks", _backlinks_fn, f"""WITH {NOTES}, few AS (SELECT * FROM notes WHERE folder IN ('region', 'nation', 'customer')),
-b AS (SELECT target, string_agg(path, '|' ORDER BY path) AS v FROM (SELECT path, unnest(links) AS target FROM few) GROUP BY 1)
-SELECT path, coalesce(v, '') AS value FROM few LEFT JOIN b ON b.target = path""")
+add("fn_backlinks", _backlinks_fn, f"""WITH {NOTES},
+b AS (SELECT target, string_agg(path, '|' ORDER BY path) AS v FROM (SELECT path, unnest(links) AS target FROM notes) GROUP BY 1)
+SELECT path, coalesce(v, '') AS value FROM notes LEFT JOIN b ON b.target = path""")
 f = scalar.call
 
 # ---- trees as shown ----
@@ -433,7 +437,7 @@ def merged_tree(graph: Graph) -> DataFrame:
 
 _JOIN = lambda c: F.concat_ws(">", c)
 _MERGED = f"""{GRAPH}, {walk_sql('up', SC)}, {walk_sql('down', SC, 1, name='second', item=1)}, merged AS (
-  SELECT root, array_to_string(trail[2:], '>') AS chain, path, relation AS relations, false AS implied FROM walk
+  SELECT root, array_to_string(route[2:], '>') AS chain, path, relation AS relations, false AS implied FROM walk
   UNION ALL SELECT root, path, path, relation, true FROM second)"""
 graph_query("merge_by_path", lambda g: merged_tree(g).select("root", _JOIN("chain").alias("chain"), "path", F.concat_ws(",", "relations").alias("relations"), "implied"), f"{_MERGED[len(GRAPH):]} SELECT * FROM merged")
 graph_query(
@@ -444,10 +448,25 @@ SELECT m.root, m.chain, CASE WHEN m.implied THEN c.n ELSE 1 END::BIGINT AS membe
 )
 graph_query(
     "invert_groups", lambda g: tree.invert(merged_tree(g)).select("root", _JOIN("tip").alias("tip"), "place", "path"),
-    f"""{_MERGED[len(GRAPH):]}, tips AS (SELECT root, trail[2:] AS tip FROM walk w WHERE depth = 2 UNION ALL SELECT root, [path] FROM second)
+    f"""{_MERGED[len(GRAPH):]}, tips AS (SELECT root, route[2:] AS tip FROM walk w WHERE depth = 2 UNION ALL SELECT root, [path] FROM second)
 SELECT root, array_to_string(tip, '>') AS tip, i::INTEGER AS place, tip[len(tip) - i] AS path FROM (SELECT root, tip, unnest(range(0, len(tip))) AS i FROM tips)""",
 )
 
+_TIPS = f"""{_MERGED[len(GRAPH):]}, tips AS (SELECT root, route[2:] AS tip FROM walk w WHERE depth = 2 UNION ALL SELECT root, [path] FROM second)"""
+graph_query(
+    "shown_direction",
+    lambda g: tree.as_shown(Query("Shown", Rel("down", depth=1), Rel("up")).run(g, roots(g, "folder = 'customer'")), {"up": "ascending"}).select("root", _JOIN("tip").alias("tip"), "place", "path"),
+    f"""{_TIPS}, placed AS (SELECT root, tip, unnest(range(0, len(tip))) AS i FROM tips)
+SELECT p.root, array_to_string(tip, '>') AS tip, (CASE WHEN s.root IS NULL THEN len(tip) - 1 - i ELSE i END)::INTEGER AS place, tip[i + 1] AS path
+FROM placed p LEFT JOIN (SELECT DISTINCT root FROM second) s ON s.root = p.root""",
+)
+graph_query(
+    "cluster_subgroups",
+    lambda g: tree.subgroups(tree.cluster(merged_tree(g))).select("root", _JOIN("chain").alias("chain"), F.concat_ws(",", "relations").alias("relations"), "members"),
+    f"""{_MERGED[len(GRAPH):]}, counted AS (SELECT root, count(*) AS n FROM second GROUP BY 1)
+SELECT m.root, m.chain, m.relations, CASE WHEN m.implied THEN c.n ELSE 1 END::BIGINT AS members FROM merged m LEFT JOIN counted c ON c.root = m.root""",
+)
+
 # ---- note texts: links are made from rows, as no text of the tables holds any ----
 
 
@@ -462,6 +481,101 @@ def _inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("path", F.explode("relations").alias("r")).select("path", "r.source", "r.relation", "r.label", "r.target")
 
 
+def _texts(spark: SparkSession, sf_dir: str, form: str, *columns: str) -> DataFrame:
+    """A note (path, content) for each order, its text a form filled with expressions over the row."""
+    o = tables.read(spark, sf_dir, "orders")
+    return o.select(tables.path("orders", F.col("o_orderkey")).alias("path"), F.format_string(form, *map(F.expr, columns)).alias("content"))
+
+
+def _parsed(form: str, *columns: str) -> Call:
+    """The relations found in texts."""
+
+    def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+        parsed = inline.parse_inline(_texts(spark, sf_dir, form, *columns))
+        return parsed.select("path", F.explode("relations").alias("r")).select("path", "r.source", "r.relation", "r.label", "r.target", "r.pos")
+
+    return call
+
+
+_OWN = "'orders/' || o_orderkey || '.md'"
+add("inline_triple", _parsed("[[customer/%s|buyer]]::Has.Bought::[[orders/%s#Top]] and [[status/%s]]:: holds :: [[x]]", "o_custkey", "o_orderkey", "o_orderstatus"),
+    f"""SELECT {_OWN} AS path, 'customer/' || o_custkey AS source, 'has' AS relation, 'bought' AS label, 'orders/' || o_orderkey AS target, 0::BIGINT AS pos FROM orders
+UNION ALL SELECT {_OWN}, 'status/' || o_orderstatus, 'holds', NULL, 'x', 1 FROM orders""")
+add("inline_fan_out", _parsed("up::[[customer/%s]], also ::[[status/%s]] and ::[[customer/%s]]", "o_custkey", "o_orderstatus", "o_custkey"),
+    f"""SELECT {_OWN} AS path, NULL::VARCHAR AS source, 'up' AS relation, NULL::VARCHAR AS label, 'customer/' || o_custkey AS target, 0::BIGINT AS pos FROM orders
+UNION ALL SELECT {_OWN}, NULL, 'up', NULL, 'status/' || o_orderstatus, 1 FROM orders""")
+add("inline_chain", _parsed("next::[[orders/%s]] ::-::[[orders/%s]] ::-:: [[orders/%s]]", "o_orderkey + 1", "o_orderkey + 2", "o_orderkey + 3"),
+    f"""SELECT {_OWN} AS path, NULL::VARCHAR AS source, 'next' AS relation, NULL::VARCHAR AS label, 'orders/' || (o_orderkey + 1) AS target, 0::BIGINT AS pos FROM orders
+UNION ALL SELECT {_OWN}, 'orders/' || (o_orderkey + 1), 'next', NULL, 'orders/' || (o_orderkey + 2), 1 FROM orders
+UNION ALL SELECT {_OWN}, 'orders/' || (o_orderkey + 2), 'next', NULL, 'orders/' || (o_orderkey + 3), 2 FROM orders""")
+add("inline_dedupe", _parsed("up::[[customer/%s]] UP:: [[customer/%s|again]] up.x::[[customer/%s]]", "o_custkey", "o_custkey", "o_custkey"),
+    f"""SELECT {_OWN} AS path, NULL::VARCHAR AS source, 'up' AS relation, NULL::VARCHAR AS label, 'customer/' || o_custkey AS target, 0::BIGINT AS pos FROM orders
+UNION ALL SELECT {_OWN}, NULL, 'up', 'x', 'customer/' || o_custkey, 1 FROM orders""")
+
+
+def _fronted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as notes whose front-matter has relations in block lists, nested maps and dotted keys, and properties."""
+    form = """---
+relations:
+  Parent:
+    - "[[customer/%s]]"
+    - plain
+  next:
+    follows:
+      soon: "[[orders/%s|n]]"
+prev.older: '[[orders/%s]]'
+Status: %s
+price: %s
+tags: [a, "b, c"] # two
+---
+Title, no links"""
+    notes = _texts(spark, sf_dir, form, "o_custkey", "o_orderkey + 1", "o_orderkey - 1", "o_orderstatus", "cast(cast(o_totalprice as decimal(18, 2)) as string)")
+    return notes.withColumn("front_matter", N.front_block(F.col("content")))
+
+
+def _front_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = parse_front_matter(_fronted(spark, sf_dir), N.DEFAULT_RELATIONS)
+    return parsed.select("path", F.explode("front_relations").alias("r")).select("path", "r.relation", "r.label", "r.target")
+
+
+add("frontmatter_relations", _front_relations, f"""SELECT {_OWN} AS path, 'up' AS relation, NULL::VARCHAR AS label, 'customer/' || o_custkey AS target FROM orders
+UNION ALL SELECT {_OWN}, 'up', NULL, 'plain' FROM orders UNION ALL SELECT {_OWN}, 'next', 'follows.soon', 'orders/' || (o_orderkey + 1) FROM orders
+UNION ALL SELECT {_OWN}, 'prev', 'older', 'orders/' || (o_orderkey - 1) FROM orders""")
+
+
+def _front_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = parse_front_matter(_fronted(spark, sf_dir), N.DEFAULT_RELATIONS)
+    field = lambda k: F.get_json_object("properties_json", f"$.{k}").alias(k)
+    return parsed.select("path", field("status"), field("price").cast("double").alias("price"), field("tags"), field("relations").isNull().alias("consumed"))
+
+
+add("frontmatter_properties", _front_properties, f"""SELECT {_OWN} AS path, o_orderstatus AS status, o_totalprice::DECIMAL(18, 2)::DOUBLE AS price, '["a","b, c"]' AS tags, true AS consumed FROM orders""")
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links by full path, by path without its ending, by base name (the shortest, then first path wins) and to nowhere."""
+    paths = tables.notes(spark, sf_dir).select("path")
+    name = F.regexp_extract("path", r"(\d+)\.md$", 1)
+    links = paths.select(F.explode(F.array(F.col("path"), F.regexp_replace("path", r"\.md$", ""), name, F.concat(F.lit("nowhere/"), name))).alias("link"))
+    return N.resolved(links, paths)
+
+
+add("link_resolution", _resolved, f"""WITH {NOTES} SELECT path AS link, path AS resolved FROM notes UNION ALL SELECT replace(path, '.md', ''), path FROM notes
+UNION ALL SELECT name, first(path ORDER BY length(path), path) FROM notes GROUP BY name""")
+
+
+def _note_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of whole notes: parsed, resolved, names by their keys, in text order."""
+    fronted = _fronted(spark, sf_dir).withColumn("content", F.concat("content", F.lit("\nchild::[[orders/"), F.regexp_extract("path", r"(\d+)", 1), F.lit("]] nothing::[[customer/1]]")))
+    others = tables.notes(spark, sf_dir, ("customer",)).select("path", F.lit("").alias("content"), F.lit(None).cast("string").alias("front_matter"))
+    return N.edges_of(fronted.unionByName(others)).drop("implied", "implied_from")
+
+
+add("note_edges", _note_edges, f"""WITH o AS (SELECT *, {_OWN} AS path FROM orders)
+SELECT path AS src, path AS dst, 'down' AS relation, NULL::VARCHAR AS label, 1::BIGINT AS ord FROM o
+UNION ALL SELECT path, 'customer/' || o_custkey || '.md', 'up', NULL, 2 FROM o
+UNION ALL SELECT o.path, b.path, 'next', 'follows.soon', 3 FROM o JOIN o b ON b.o_orderkey = o.o_orderkey + 1
+UNION ALL SELECT o.path, b.path, 'prev', 'older', CASE WHEN EXISTS (SELECT 1 FROM o c WHERE c.o_orderkey = o.o_orderkey + 1) THEN 4 ELSE 3 END FROM o JOIN o b ON b.o_orderkey = o.o_orderkey - 1""")
 add("inline_scanner", _inline, """SELECT 'orders/' || o_orderkey || '.md' AS path, NULL AS source, 'up' AS relation, NULL::VARCHAR AS label, 'customer/' || o_custkey AS target FROM orders
 UNION ALL SELECT 'orders/' || o_orderkey || '.md', 'status/' || o_orderstatus, 'holds', NULL, NULL FROM orders""")
 add("inline_prefix", lambda s, d: inline.prefix_only(_written(s, d)), "SELECT 'orders/' || o_orderkey || '.md' AS path, 'up' AS relation, 'customer/' || o_custkey AS target FROM orders")

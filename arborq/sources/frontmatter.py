@@ -1,4 +1,4 @@
-"""Relations and properties from front-matter, held as JSON text (a nested object)."""
+"""Relations and properties from front-matter: the text of a block, or JSON (a nested object)."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from arborq.sources import yaml
 from arborq.sources.inline import PARSED, PARSED_TYPE, VALID, link_target
 
 LABEL = re.compile(r"[a-z0-9][a-z0-9_-]*(?:\.[a-z0-9][a-z0-9_-]*)*\Z")
@@ -91,8 +92,8 @@ def parse_front_matter(notes: DataFrame, relations: list[Relation], front: str =
 
     def load(text: str | None) -> dict | None:
         try:
-            tree = json.loads(text) if text else None
-        except ValueError:
+            tree = None if not text else json.loads(text) if text.lstrip().startswith("{") else yaml.read(text)
+        except (ValueError, RecursionError):
             return None
         return tree if isinstance(tree, dict) else None
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from arborq.operators.common import ranked
 from arborq.operators.edges import backlinks
 from arborq.operators.implied import Rule, renumbered, with_implied
 from arborq.plans.query import Graph
@@ -29,21 +29,10 @@ def quoted(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def front_matter_json(content: Column) -> Column:
-    """The block between --- lines as JSON: `key: value` lines and one-line lists; a block that is JSON stays."""
+def front_block(content: Column) -> Column:
+    """The block between --- lines at the start of a note; null without one."""
     block = F.regexp_extract(content, _FRONT, 1)
-    lines = F.filter(F.split(block, "\r?\n"), lambda x: x.rlike(r"^[^\s:#][^:]*:\s*\S"))
-    key = lambda x: F.trim(F.regexp_extract(x, r"^([^:]+):", 1))
-    raw = lambda x: F.trim(F.regexp_extract(x, r"^[^:]+:\s*(.*)$", 1))
-    bare = lambda v: F.regexp_replace(v, "^[\"']|[\"']$", "")
-    text = lambda v: F.regexp_replace(F.to_json(F.struct(bare(v).alias("v"))), r"^\{\"v\":|\}$", "")
-    listed = lambda v: v.rlike(r"^\[(?!\[).*\]$")
-    items = lambda v: F.transform(F.split(F.regexp_replace(v, r"^\[|\]$", ""), r"\s*,\s*"), lambda i: text(i))
-    value = lambda v: F.when(listed(v), F.concat(F.lit("["), F.array_join(items(v), ","), F.lit("]"))).when(
-        v.rlike(r"^(-?\d+(\.\d+)?|true|false|null)$"), v
-    ).otherwise(text(v))
-    pairs = F.transform(lines, lambda x: F.concat(text(key(x)), F.lit(":"), value(raw(x))))
-    return F.when(block.rlike(r"^\s*\{"), block).when(block != "", F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
+    return F.when(block != "", block)
 
 
 def resolved(parsed: DataFrame, paths: DataFrame) -> DataFrame:
@@ -73,17 +62,17 @@ def edges_of(notes: DataFrame, relations: list[Relation] | None = None) -> DataF
     full = each.join(a, "source", "left").join(b, "target", "left").join(F.broadcast(names), F.col("relation") == F.col("name"))
     full = full.withColumn("from", F.when(F.col("source").isNull(), F.col("path")).otherwise(F.col("src")))
     full = full.withColumn("to", F.when(F.col("target").isNull(), F.col("path")).otherwise(F.col("dst"))).where("`from` is not null and `to` is not null")
-    w = Window.partitionBy("from").orderBy("path", "pos")
-    return full.select(
+    placed = ranked(full, ["from"], [F.col("path").asc(), F.col("pos").asc()], "place")
+    return placed.select(
         F.col("from").alias("src"), F.col("to").alias("dst"), F.col("uid").alias("relation"), "label", F.lit(False).alias("implied"),
-        F.lit(None).cast("string").alias("implied_from"), F.row_number().over(w).cast("long").alias("ord"),
+        F.lit(None).cast("string").alias("implied_from"), F.col("place").alias("ord"),
     )
 
 
 def build(files: DataFrame, relations: list[Relation] | None = None, rules: list[Rule] | None = None) -> Graph:
     """Graph of scanned files: notes with VARIANT properties, links and backlinks; explicit and implied edges."""
     relations = relations if relations is not None else DEFAULT_RELATIONS
-    raw = files.withColumn("front_matter", front_matter_json(F.col("content")))
+    raw = files.withColumn("front_matter", front_block(F.col("content")))
     links = F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1)), lambda x: F.trim(F.substring_index(F.substring_index(x, "|", 1), "#", 1))))
     tags = F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(r"(?:^|\s)#([A-Za-z][\w/-]*)"), F.lit(1)), lambda t: F.concat(F.lit("#"), t)))
     parsed = parse_front_matter(raw, relations)

@@ -7,13 +7,13 @@ def depth_first(edges, start, depth=None, pruned=frozenset()):
     """(path tuple) of every walk in order; edges: {src: [dst, ...]} in order."""
     found = []
 
-    def go(trail):
-        if depth is not None and len(trail) > depth:
+    def go(route):
+        if depth is not None and len(route) > depth:
             return
-        for dst in edges.get(trail[-1], []):
-            if dst not in trail and dst not in pruned:
-                found.append((*trail, dst))
-                go((*trail, dst))
+        for dst in edges.get(route[-1], []):
+            if dst not in route and dst not in pruned:
+                found.append((*route, dst))
+                go((*route, dst))
 
     go((start,))
     return found
@@ -32,8 +32,8 @@ def breadth_first(edges, start, pruned=frozenset()):
     return found
 
 
-def promoted(trails, ok):
-    """(trail, nearest kept trail above or None) of the kept ones."""
-    kept = [t for t in trails if ok(t[-1])]
+def promoted(routes, ok):
+    """(route, nearest kept route above or None) of the kept ones."""
+    kept = [t for t in routes if ok(t[-1])]
     present = set(kept)
     return [(t, next((t[:n] for n in range(len(t) - 1, 1, -1) if t[:n] in present), None)) for t in kept]

@@ -6,7 +6,7 @@ from reference_walk import breadth_first, depth_first, promoted
 
 from arborq.functions.expr import file, lit, prop, traversal
 from arborq.operators import edges as E
-from arborq.operators import implied, tree
+from arborq.operators import implied, traverse, tree
 from arborq.operators.implied import Rule
 from arborq.operators.traverse import Rel
 from arborq.plans import query as Q
@@ -35,7 +35,7 @@ def paths(rows):
     return [r["path"] for r in rows.orderBy("root", "key").collect()]
 
 
-def trails(rows):
+def routes(rows):
     return [tuple(r["traversal_path"]) for r in rows.orderBy("root", "key").collect()]
 
 
@@ -47,8 +47,8 @@ def test_random_graphs_match_brute_force(spark):
         bad = {n for n in names[1:] if r.random() < 0.2}
         g = graph(spark, [(a, b, "down") for a in names for b in adjacency[a]] or [("n0", "n1", "up")], {n: (1.0 if n in bad else 0.0, None) for n in names})
         prune = prop("level").eq(1.0)
-        assert trails(Query("t", Rel("down"), prune=prune).run(g, roots(spark, "n0"))) == depth_first(adjacency, "n0", pruned=bad)
-        assert trails(Query("t", Rel("down", depth=2)).run(g, roots(spark, "n0"))) == depth_first(adjacency, "n0", 2)
+        assert routes(Query("t", Rel("down"), prune=prune).run(g, roots(spark, "n0"))) == depth_first(adjacency, "n0", pruned=bad)
+        assert routes(Query("t", Rel("down", depth=2)).run(g, roots(spark, "n0"))) == depth_first(adjacency, "n0", 2)
         assert paths(Query("t", Rel("down", flatten=True), prune=prune & traversal("depth").eq(1)).run(g, roots(spark, "n0"))) == breadth_first(adjacency, "n0", bad)
         where = Query("t", Rel("down", depth=3), where=~prune).run(g, roots(spark, "n0"))
         all_rows = {tuple(x["key"]): tuple(x["traversal_path"]) for x in Query("t", Rel("down", depth=3)).run(g, roots(spark, "n0")).collect()}
@@ -192,6 +192,35 @@ def test_merge_cluster_invert(spark):
     assert chains == {(("m", "g"), 0): "g", (("m", "g"), 1): "m", (("d", "g"), 0): "g", (("d", "g"), 1): "d"}
 
 
+def test_merge_keeps_what_the_first_had(spark):
+    up = [("r", "a", "up"), ("r", "b", "near"), ("r", "a", "near"), ("a", "c", "up")]
+    g = graph(spark, up, {"a": (7.0, "k")})
+    edges = g.edges.withColumn("implied", F.col("relation") == "up").withColumn("implied_from", F.when(F.col("relation") == "up", F.lit("down")))
+    rows = Query("t", Rel("up"), Rel("near"), display=[("level", prop("level"))]).run(Graph(g.notes, edges), roots(spark, "r"))
+    merged = {tuple(x["chain"]): x for x in tree.merge_by_path(rows).collect()}
+    assert merged["a",]["implied"] is False and merged["a",]["implied_from"] is None and merged["a", "c"]["implied_from"] == "down"
+    assert merged["a",]["kept"]["display"][0]["value"] == "7"
+
+
+def test_subgroups_and_direction(spark):
+    g = graph(spark, [("r", x, "down") for x in ("a", "b", "z")] + [(x, y, "down") for x in ("a", "b") for y in ("c", "d")] + [("s", "a", "up"), ("a", "q", "up")])
+    rows = Query("t", Rel("down")).run(g, roots(spark, "r"))
+    shown = {(tuple(x["chain"]), x["members"]) for x in tree.subgroups(tree.cluster(tree.merge_by_path(rows))).collect()}
+    assert shown == {(("a",), 2), (("b",), 2), (("z",), 1), (("a", "c"), 2), (("a", "d"), 2)}
+    both = Query("t", Rel("up"), Rel("down")).run(g, roots(spark, "r", "s"))
+    placed = {(x["root"], tuple(x["tip"]), x["place"]): x["path"] for x in tree.as_shown(both, {"up": "ascending"}).collect()}
+    assert placed["s", ("a", "q"), 0] == "q" and placed["s", ("a", "q"), 1] == "a" and placed["r", ("a", "c"), 0] == "a" and placed["r", ("a", "c"), 1] == "c"
+
+
+def test_deep_walks_have_no_level_limit(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "FOLDED", 3)
+    line = [(f"n{i}", f"n{i + 1}", "next") for i in range(11)]
+    g = graph(spark, line)
+    assert len(paths(Query("t", Rel("next")).run(g, roots(spark, "n0")))) == 11
+    assert len(paths(Query("t", Rel("next", flatten=True)).run(g, roots(spark, "n0")))) == 11
+    assert E.ancestors(g.edges, roots(spark, "n11")).count() == 11
+
+
 def test_ranked_spreads_one_large_group(spark):
     from arborq.operators.common import ranked
 
