@@ -48,7 +48,7 @@ def test_case(notes, i):
     assert value(notes, CASES[i][0]) == CASES[i][1]
 
 
-NUMBERS = {12345678.5: "12345678.5", 0.0001: "0.0001", 1e-7: "1e-7", 1.5e-7: "1.5e-7", 1e21: "1e+21", 3e22: "3e+22", 1e20: "100000000000000000000", 2.0**60: "1152921504606847000",
+NUMBERS = {12345678.5: "12345678.5", 0.0001: "0.0001", 1e-7: "1e-7", 1.5e-7: "1.5e-7", 1e21: "1e+21", 3e22: "3e+22", 1e20: "100000000000000000000", 2.0**53: "9007199254740992",
            -0.0: "0", -2.5: "-2.5", 3.0: "3", 1.2345678901234567e-6: "0.0000012345678901234567", 0.1 + 0.2: "0.30000000000000004", 123456789012.25: "123456789012.25", float("inf"): "Infinity"}
 
 
