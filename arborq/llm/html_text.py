@@ -1,9 +1,11 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into text blocks. A classifier gives each block a cost for either label; these become the
-capacities to two terminals. Neighbours in the page and blocks near in the DOM (through nodes for their
-containers) are tied by smoothness edges. The minimum cut, found by maximum flow, parts content from
-boilerplate.
+A page is cut into text blocks. A classifier gives each block log odds of being content, from its looks (words,
+links, end of sentence, heading) and its markup (tags, words in class and id, roles); these become the
+capacities to two terminals, all of them finite. Neighbours in the page and blocks near in the DOM (through nodes for
+their containers) are tied by smoothness edges. The minimum cut, found by maximum flow, parts content from
+boilerplate: clear markup outweighs what a block looks like, and where markup says nothing, the company that a block
+keeps settles what its looks leave open.
 """
 
 from __future__ import annotations
@@ -49,24 +51,26 @@ CONTENT_WORDS = frozenset("article content main post entry story text body prose
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)[^>]*>)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
-CERTAIN = 1e6
+# Log odds of the classifier: bounds of what looks and markup can say, and what each sign adds.
+LOOKS, BOILER, CONTENT, WORD, MIXED, HIDDEN = 3.0, -8.0, 3.0, 1.0, -1.5, -10.0
+NEXT, DOM = 1.6, 0.9  # smoothness between neighbours in the page and between a block and its container
 
 
 class _Box:
-    """An open or closed block element: its parent, whether it is certainly boilerplate, and its leaning."""
+    """An open or closed block element: its parent and what its markup, with all around it, says in log odds."""
 
-    __slots__ = ("boiler", "content", "depth", "index", "lean", "parent", "tag")
+    __slots__ = ("content", "depth", "index", "markup", "parent", "tag")
 
-    def __init__(self, tag: str, parent: _Box | None, boiler: bool, content: bool, lean: float, index: int):
-        self.tag, self.parent, self.boiler, self.content, self.lean, self.index = tag, parent, boiler, content, lean, index
+    def __init__(self, tag: str, parent: _Box | None, content: bool, markup: float, index: int):
+        self.tag, self.parent, self.content, self.markup, self.index = tag, parent, content, markup, index
         self.depth = parent.depth + 1 if parent else 0
 
 
-def _judged(tag: str, attributes: str, parent: _Box) -> tuple[bool, bool, float]:
-    """(certainly boilerplate, inside content markup, leaning) of a new element."""
-    content = parent.content or tag in CONTENT_TAGS
-    boiler = parent.boiler or tag in BOILER_TAGS or (tag == "header" and not parent.content)
-    lean = parent.lean
+def _judged(tag: str, attributes: str, parent: _Box) -> tuple[bool, float]:
+    """(inside content markup, log odds of the markup) of a new element. Boilerplate within content is boilerplate, not the reverse."""
+    marked = tag in CONTENT_TAGS
+    against = BOILER if tag in BOILER_TAGS or (tag == "header" and not parent.content) else 0.0
+    words_for = 0.0
     if attributes and not attributes.isspace():
         for m in _ATTRIBUTE.finditer(attributes):
             name = m[1].lower()
@@ -75,24 +79,25 @@ def _judged(tag: str, attributes: str, parent: _Box) -> tuple[bool, bool, float]
                 words = {w.lower() for w in _PARTS.findall(value)}
                 if words & BOILER_WORDS and tag not in CONTENT_TAGS and tag not in ("body", "html"):
                     if words & CONTENT_WORDS:
-                        lean -= 1.5
+                        words_for += MIXED
                     else:
-                        boiler = True
+                        against = min(against, BOILER)
                 elif words & CONTENT_WORDS:
-                    lean += 1.0
+                    words_for += WORD
             elif name == "role":
-                boiler = boiler or value.lower() in BOILER_ROLES
-                content = content or value.lower() in ("main", "article")
+                against = min(against, BOILER) if value.lower() in BOILER_ROLES else against
+                marked = marked or value.lower() in ("main", "article")
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                boiler = True
+                against = HIDDEN
             elif name == "style" and "display:none" in value.replace(" ", "").lower():
-                boiler = True
-    return boiler, content, max(-3.0, min(3.0, lean))
+                against = HIDDEN
+    markup = parent.markup + (CONTENT if marked and not parent.content else 0.0) + words_for
+    return parent.content or marked, max(HIDDEN, min(CONTENT, markup) + against)
 
 
 def blocks_of(html: str) -> tuple[list[tuple[str, _Box, float]], list[_Box]]:
     """(text, box, share of its characters in links) of each block with text, in page order; and all boxes."""
-    root = _Box("", None, False, False, 0.0, 0)
+    root = _Box("", None, False, 0.0, 0)
     boxes, stack = [root], [root]
     found: list[tuple[str, _Box, float]] = []
     parts: list[str] = []
@@ -177,14 +182,14 @@ def blocks_of(html: str) -> tuple[list[tuple[str, _Box, float]], list[_Box]]:
 
 
 def leaning(text: str, box: _Box, link_share: float) -> float:
-    """Log odds that a block is content, by its own looks and its surroundings."""
+    """Log odds that a block is content, by its own looks and its markup."""
     words = text.count(" ") + 1
-    out = -1.2 + 0.7 * math.log1p(words) - 5.0 * link_share + box.lean
+    looks = -1.2 + 0.7 * math.log1p(words) - 5.0 * link_share
     if text[-1] in ".!?…。\"'”":
-        out += 0.6
+        looks += 0.6
     if box.tag in HEADINGS:
-        out += 0.5
-    return out + 4.0 if box.content else out
+        looks += 0.5
+    return max(-LOOKS, min(LOOKS, looks)) + box.markup
 
 
 def _nearness(a: _Box, b: _Box) -> float:
@@ -196,7 +201,7 @@ def _nearness(a: _Box, b: _Box) -> float:
         else:
             b = b.parent
         steps += 1
-    return 1.2 / (1.0 + steps)
+    return NEXT / (1.0 + steps)
 
 
 def minimum_cut(pull: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
@@ -292,33 +297,37 @@ def minimum_cut(pull: list[float], edges: dict[tuple[int, int], float]) -> list[
     return [bool(s) for s in side]
 
 
-def main_text(html: str | None) -> str:
-    """Content blocks of a page, joined by line ends; empty for a null, empty or all-boilerplate page."""
-    blocks, boxes = blocks_of(html) if html else ([], [])
-    if not blocks:
-        return ""
-    n = len(blocks)
-    pull = [-CERTAIN if box.boiler else leaning(text, box, share) for text, box, share in blocks]
+def graph_of(blocks: list[tuple[str, _Box, float]]) -> tuple[list[float], dict[tuple[int, int], float]]:
+    """Log odds of the blocks, then 0 for each container's node; and the smoothness edges among them."""
+    pull = [leaning(text, box, share) for text, box, share in blocks]
     edges: dict[tuple[int, int], float] = {}
-    for i in range(n - 1):
+    for i in range(len(blocks) - 1):
         edges[i, i + 1] = _nearness(blocks[i][1], blocks[i + 1][1])
     node: dict[int, int] = {}
     for i, (_, box, _) in enumerate(blocks):  # DOM proximity: a block hangs on its container, this on the next one
-        if box.boiler:
-            continue
-        below, weight, up = i, 0.6, box.parent if box.tag in ("p", "li", "td") or box.tag in HEADINGS else box
+        below, weight, up = i, DOM, box.parent if box.tag in ("p", "li", "td") or box.tag in HEADINGS else box
         while up is not None and weight > 0.1:
             fresh = up.index not in node
             if fresh:
                 node[up.index] = len(pull)
                 pull.append(0.0)
-            key = (below, node[up.index])
-            edges[key] = weight
+            edges[below, node[up.index]] = weight
             if not fresh:
                 break
             below, weight, up = node[up.index], weight / 2, up.parent
-    sides = minimum_cut(pull, edges)
-    return "\n".join(text for (text, _, _), keep in zip(blocks, sides, strict=False) if keep)
+    return pull, edges
+
+
+def labels_of(html: str | None) -> list[tuple[str, bool]]:
+    """Each block's text and whether it is content."""
+    blocks = blocks_of(html)[0] if html else []
+    sides = minimum_cut(*graph_of(blocks)) if blocks else []
+    return [(text, keep) for (text, _, _), keep in zip(blocks, sides, strict=False)]
+
+
+def main_text(html: str | None) -> str:
+    """Content blocks of a page, joined by line ends; empty for a null, empty or all-boilerplate page. Time and memory grow with the page."""
+    return "\n".join(text for text, keep in labels_of(html) if keep)
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
