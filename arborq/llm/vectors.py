@@ -1,9 +1,11 @@
 """Near duplicates among embeddings: iterative quantisation and multi-index Hamming tables.
 
 A rotation learned on a sample turns vectors into balanced binary codes. Each code is filed under each of
-its substrings; vectors that share a label and one substring and whose whole codes are near meet in a
-block, where their cosine is taken from the original vectors. Blocks are matrices of bounded size, so no
-pair is ever a row: a block gives each vector's number of links and a link to a representative.
+its substrings, whose width follows the number of rows, and looked up under every substring within a radius of
+its own; vectors of one label that meet there and whose whole codes are near have their cosine taken from the
+original vectors, in a block. Number of tables and radius are those that find all but about one in fifty pairs at the
+threshold, which is tried on partners made for the sample. Blocks are matrices of bounded size, so no pair is
+ever a row: a block gives each vector's number of links and a link to a representative.
 """
 
 from __future__ import annotations
@@ -11,10 +13,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,70 +26,106 @@ from arborq.llm.common import checkpointed, components, table
 
 THRESHOLD = 0.93
 MAX_FIT = 20_000
+WIDTHS, MAX_PROBE = (8, 24), 2
+RECALL = 0.98
+PER_ROW = 50  # comparisons that cost as much as sending a row
 
 
 @dataclass(frozen=True)
 class Quantiser:
-    """mean and rotation (dimensions x bits): bit j is 1 where (v - mean) @ rotation[:, j] >= 0; `tables` substrings."""
+    """mean and rotation (dimensions x bits): bit j is 1 where (v - mean) @ rotation[:, j] >= 0.
+
+    `tables` substrings of `width` bits, looked up within `probe` bits; codes further apart than `radius` are no candidates.
+    """
 
     mean: np.ndarray
     rotation: np.ndarray
+    width: int
     tables: int
+    probe: int
+    radius: int
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         """One row of 0/1 bytes for each vector."""
         return ((x - self.mean) @ self.rotation >= 0).astype(np.uint8)
 
+    def substrings(self, bits: np.ndarray) -> np.ndarray:
+        """The number spelled by each of the substrings of each code."""
+        cut = bits[:, : self.tables * self.width].reshape(len(bits), self.tables, self.width)
+        return cut.astype(np.int64) @ (1 << np.arange(self.width, dtype=np.int64))
+
+    def masks(self) -> np.ndarray:
+        """What is to be flipped to reach every substring within the radius; 0 comes first."""
+        return np.array([sum(1 << i for i in c) for k in range(self.probe + 1) for c in combinations(range(self.width), k)], np.int64)
 
-def fit_quantiser(sample: np.ndarray, tables: int = 8, rounds: int = 40, seed: int = 7) -> Quantiser:
-    """Principal directions, then a rotation found by turns: nearest binary codes, nearest rotation to them."""
+
+def fit_rotation(sample: np.ndarray, rounds: int = 40, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and rotation: principal directions, then turns of nearest binary codes and nearest rotation to them."""
     d = sample.shape[1]
-    mean = sample.mean(0) if len(sample) else np.zeros(d)
-    bits = d
     rng = np.random.default_rng(seed)
-    rotation = np.linalg.qr(rng.standard_normal((bits, bits)))[0]
+    rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
     if len(sample) < 2:
-        return Quantiser(mean, rotation, min(tables, bits))
+        return np.zeros(d), rotation
+    mean = sample.mean(0)
     centred = sample - mean
     _, axes = np.linalg.eigh(centred.T @ centred)
-    axes = axes[:, ::-1][:, :bits]
+    axes = axes[:, ::-1]
     projected = centred @ axes
     for _ in range(rounds):
         near = np.where(projected @ rotation >= 0, 1.0, -1.0)
         u, _, vt = np.linalg.svd(projected.T @ near)
         rotation = u @ vt
-    return Quantiser(mean, axes @ rotation, min(tables, bits))
-
+    return mean, axes @ rotation
 
-def _substrings(bits: np.ndarray, tables: int) -> np.ndarray:
-    """The number spelled by each of the `tables` substrings of each code."""
-    cuts = np.linspace(0, bits.shape[1], tables + 1).astype(int)
-    parts = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        parts.append(bits[:, a:b].astype(np.int64) @ (1 << np.arange(b - a, dtype=np.int64)) if b - a < 60 else _hashed(bits[:, a:b]))
-    return np.column_stack(parts)
 
+def fit_quantiser(sample: np.ndarray, rows: int = 0, threshold: float = THRESHOLD, seed: int = 7) -> Quantiser:
+    """Rotation, and the tables for labels of up to `rows` vectors.
 
-def _hashed(bits: np.ndarray) -> np.ndarray:
-    packed = np.packbits(bits, axis=1).astype(np.int64)
-    return packed @ np.random.default_rng(1).integers(1, 1 << 40, packed.shape[1])
+    Each of some vectors of the sample gets a partner at the threshold in a random direction. Of the widths and radii
+    by which RECALL of these pairs meet, with the fewest tables that do, the cheapest is taken: the places a vector is
+    sent to, times what it meets in each, which halves with each bit of width. If none reaches RECALL, the one nearest to it.
+    """
+    d = sample.shape[1]
+    mean, rotation = fit_rotation(sample, seed=seed)
+    rng = np.random.default_rng(seed + 1)
+    x = sample[:1000] if len(sample) >= 2 else _unit(rng.standard_normal((500, d)))
+    away = rng.standard_normal(x.shape)
+    away -= (away * x).sum(1, keepdims=True) * x
+    norm = np.linalg.norm(away, axis=1, keepdims=True)
+    y = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * away / np.where(norm > 0, norm, 1.0)
+    whole = Quantiser(mean, rotation, 1, d, 0, d)
+    a, b = whole.codes(x), whole.codes(y)
+    radius = min(d, math.ceil(np.quantile((a != b).sum(1), 0.999)) + 2)
+    found = []
+    for width in range(min(d, WIDTHS[0]), min(d, WIDTHS[1]) + 1):
+        trial = Quantiser(mean, rotation, width, d // width, 0, radius)
+        apart = np.bitwise_count(trial.substrings(a) ^ trial.substrings(b))
+        for probe in range(MAX_PROBE + 1):
+            met = np.logical_or.accumulate(apart <= probe, axis=1).mean(0)
+            tables = int(np.argmax(met >= RECALL)) + 1 if met[-1] >= RECALL else d // width
+            model = Quantiser(mean, rotation, width, tables, probe, radius)
+            meets = sum(math.comb(width, k) for k in range(probe + 1)) * tables * (1 + rows / 2.0**width / PER_ROW)
+            found.append((max(0.0, RECALL - met[-1]), meets, width, probe, model))
+    return min(found, key=lambda f: f[:4])[4]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def link_block(ids: np.ndarray, x: np.ndarray, weight: np.ndarray, side: np.ndarray | None, bucket: np.ndarray, sub: np.ndarray, bits: np.ndarray,
-               t: int, threshold: float, radius: int, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def link_block(ids: np.ndarray, x: np.ndarray, weight: np.ndarray, away: np.ndarray, side: np.ndarray | None, bucket: np.ndarray, bits: np.ndarray,
+               model: Quantiser, t: int, threshold: float, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Links among rows filed in table t, sorted by bucket: each row's summed weight of partners, and a root of its links here.
 
-    Rows meet if they share the bucket and no substring before number t, so that each pair counts in one
-    table alone. side (0 or 1) tells the two parts of a cut bucket apart, of which only pairs across count.
+    A row is a vector's own place or a look-up (away) of a substring near its own. Own places meet each other and the
+    look-ups of vectors with a larger id, in the first table alone in which their substrings are within the radius, so
+    that each pair counts once. side (0 or 1) tells the two parts of a cut bucket apart, of which only pairs across count.
     """
     n = len(ids)
     sums = np.zeros(n, np.int64)
     root = np.arange(n)
     signs = bits.astype(np.float32) * 2 - 1
+    sub = model.substrings(bits)
     for i in range(0, n, step):
         a = slice(i, min(n, i + step))
         for j in range(i, n, step):
@@ -97,11 +137,14 @@ def link_block(ids: np.ndarray, x: np.ndarray, weight: np.ndarray, side: np.ndar
                 near &= side[a][:, None] != side[b][None, :]
             if i == j:
                 near &= np.triu(np.ones(near.shape, bool), 1)
+            if away.any():
+                first, second, low = away[a][:, None], away[b][None, :], ids[a][:, None] < ids[b][None, :]
+                near &= (~first & ~second) | (~first & second & low) | (first & ~second & (ids[a][:, None] > ids[b][None, :]))
             if not near.any():
                 continue
-            near &= (bits.shape[1] - signs[a] @ signs[b].T) <= 2 * radius + 0.5
+            near &= (bits.shape[1] - signs[a] @ signs[b].T) <= 2 * model.radius + 0.5
             for u in range(t):
-                near &= sub[a, u][:, None] != sub[b, u][None, :]
+                near &= np.bitwise_count(sub[a, u][:, None] ^ sub[b, u][None, :]) > model.probe
             r, c = np.nonzero(near)
             if len(r) > near.size // 20:
                 good = (x[a] @ x[b].T)[r, c] >= threshold
@@ -139,51 +182,51 @@ def usable(vectors: DataFrame, vector: str) -> F.Column:
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = THRESHOLD, tables: int = 8, radius: int | None = None, block: int = 1024,
-    max_fit: int = MAX_FIT, key: str = "vec_id", vector: str = "embedding", label: str = "label",
+    vectors: DataFrame, threshold: float = THRESHOLD, block: int = 1024, max_fit: int = MAX_FIT, key: str = "vec_id", vector: str = "embedding", label: str = "label",
 ) -> DataFrame:
-    """(vec_id, n_links, component_id, kept), one row for each key.
+    """(vec_id, n_links, component_id, kept), one row for each row of vectors.
 
     Vectors link if their labels are equal and not null and their cosine in double precision is at least
     `threshold`. Null, empty and zero vectors and those with null or non-finite components link with
     nothing, nor do vectors of different lengths. Equal vectors of one label are one class from the start:
-    they link with each other and share their links, without pairs between copies. A repeated key counts
-    once, with its first vector; null keys are left out. The quantiser is fitted on at most max_fit
-    vectors, taken by a hash; every vector is indexed. A bucket of more than `block` vectors is cut into
-    parts, and each two parts meet in a group of their own.
+    they link with each other and share their links, without pairs between copies. Rows that repeat a key
+    are one vector, the first by label and components, and each get its result; rows with a null key link with
+    nothing and are kept. The quantisers, one for each length, are fitted on at most max_fit vectors, taken by a hash;
+    every vector is indexed. A bucket of more than `block` rows is cut into parts, and each two parts meet in a group
+    of their own, whatever share of the vectors the bucket holds. An empty table gives an empty result.
     """
-    rows = vectors.where(F.col(key).isNotNull()).select(
-        F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).alias("v")
-    )
-    rows = rows.groupBy("id").agg(F.min(F.struct("label", "v")).alias("r")).select("id", "r.label", "r.v")
+    every = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).alias("v"))
+    rows = every.where("id is not null").groupBy("id").agg(F.min(F.struct("label", "v")).alias("r")).select("id", "r.label", "r.v")
     fine = rows.where(usable(rows, "v") & F.col("label").isNotNull()).withColumn("d", F.size("v"))
     classes = checkpointed(
         fine.groupBy("label", "d", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     )
     members = fine.join(classes.withColumnRenamed("rep", "class"), ["label", "d", "v"]).select("id", "class", F.col("n").alias("copies"))
-    sample: dict[int, list] = {}
-    for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(max_fit).select("d", "v").toLocalIterator():
-        sample.setdefault(r["d"], []).append(r["v"])
-    models = {d: fit_quantiser(_unit(np.array(v)), tables) for d, v in sample.items()}
+    largest = {r["d"]: r["n"] for r in classes.groupBy("label", "d").count().groupBy("d").agg(F.max("count").alias("n")).collect()}
+    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(max_fit).select("d", "v").toArrow()
+    models: dict[int, Quantiser] = {}
+    for d, rows_of_d in largest.items():
+        part = sample.filter(pc.equal(sample["d"], d))["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        models[d] = fit_quantiser(_unit(part.reshape(-1, d).astype(np.float64)), rows_of_d, threshold)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = batch.to_pandas()
             for d, part in f.groupby("d"):
-                x = _unit(np.vstack(part["v"].to_list()).astype(np.float64))
-                model = models.get(d) or fit_quantiser(np.zeros((0, d)), tables)
-                bits = model.codes(x)
-                sub = _substrings(bits, model.tables)
+                model = models[d]
+                bits = model.codes(_unit(np.vstack(part["v"].to_list()).astype(np.float64)))
+                sub = model.substrings(bits)
                 packed = [p.tobytes() for p in np.packbits(bits, axis=1)]
                 for t in range(model.tables):
-                    yield pa.RecordBatch.from_pandas(
-                        pd.DataFrame({
-                            "label": part["label"], "d": part["d"], "t": t, "at": sub[:, t], "rep": part["rep"], "n": part["n"], "v": part["v"], "code": packed,
-                        }), preserve_index=False,
-                    )
+                    for k, flip in enumerate(model.masks()):
+                        yield pa.RecordBatch.from_pandas(
+                            pd.DataFrame({
+                                "label": part["label"], "d": part["d"], "t": t, "at": sub[:, t] ^ flip, "rep": part["rep"], "n": part["n"], "v": part["v"], "code": packed, "away": k > 0,
+                            }), preserve_index=False,
+                        )
 
     kind = classes.schema["v"].dataType.simpleString()
-    filed = classes.mapInArrow(file, f"label string, d int, t long, at long, rep long, n long, v {kind}, code binary")
+    filed = classes.mapInArrow(file, f"label string, d int, t long, at long, rep long, n long, v {kind}, code binary, away boolean")
     place = ["label", "d", "t", "at"]
     sizes = (
         classes.mapInArrow(_places(file), "label string, d int, t long, at long")
@@ -193,13 +236,14 @@ def near_duplicates(
         .withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
         .drop("size")
     )
-    packs = max(1, math.ceil(classes.count() * tables / (2 * block)))
+    copies = max((m.tables * len(m.masks()) for m in models.values()), default=1)
+    packs = max(1, math.ceil(classes.count() * copies / (2 * block)))
     cut = filed.join(sizes, place, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     bucket = F.xxhash64(*place)
     mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     dealt = cut.withColumn("p", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select(
-        *place, "rep", "n", "v", "code", F.least("p", "other").alias("lo"), F.greatest("p", "other").alias("hi"),
+        *place, "rep", "n", "v", "code", "away", F.least("p", "other").alias("lo"), F.greatest("p", "other").alias("hi"),
         F.when(F.col("parts") == 1, F.pmod(bucket, F.lit(packs))).otherwise(bucket).alias("cell"), F.col("parts"),
         F.when(F.col("p") < F.col("other"), F.lit(0)).otherwise(F.lit(1)).alias("side"),
     )
@@ -207,7 +251,6 @@ def near_duplicates(
     def link(part: pd.DataFrame) -> pd.DataFrame:
         d = int(part["d"].iloc[0])
         part = part.assign(bucket=part.groupby(["label", "at"], sort=True).ngroup()).sort_values(["t", "bucket", "rep"], kind="stable")
-        far = radius if radius is not None else _radius(threshold, d)
         across = part["lo"].iloc[0] != part["hi"].iloc[0]
         out = []
         for t, rows in part.groupby("t"):
@@ -216,8 +259,8 @@ def near_duplicates(
             bits = np.unpackbits(np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1), axis=1)[:, :d]
             ids = rows["rep"].to_numpy()
             found, root = link_block(
-                ids, _unit(np.vstack(rows["v"].to_list()).astype(np.float64)), rows["n"].to_numpy(), rows["side"].to_numpy() if across else None,
-                rows["bucket"].to_numpy(), _substrings(bits, min(tables, d)), bits, int(t), threshold, far,
+                ids, _unit(np.vstack(rows["v"].to_list()).astype(np.float64)), rows["n"].to_numpy(), rows["away"].to_numpy(), rows["side"].to_numpy() if across else None,
+                rows["bucket"].to_numpy(), bits, models[d], int(t), threshold,
             )
             kept = found > 0
             out.append(pd.DataFrame({"rep": ids[kept], "found": found[kept], "root": root[kept]}))
@@ -234,13 +277,13 @@ def near_duplicates(
     )
     linked = members.join(per_class, "class").select("id", (F.col("found") + F.col("copies") - 1).alias("n_links"), "component_id")
     return (
-        rows.select("id")
+        every.select("id")
         .join(linked, "id", "left")
         .select(
             F.col("id").alias("vec_id"),
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
             F.coalesce("component_id", "id").cast("long").alias("component_id"),
-            (F.col("id") == F.coalesce("component_id", "id")).alias("kept"),
+            F.col("id").eqNullSafe(F.coalesce("component_id", "id")).alias("kept"),
         )
     )
 
@@ -253,11 +296,5 @@ def _places(file):
     return run
 
 
-def _radius(threshold: float, bits: int) -> int:
-    """Bits in which all but about one in a thousand pairs at the threshold differ at most."""
-    p = math.acos(min(1.0, max(-1.0, threshold))) / math.pi
-    return math.ceil(bits * p + 4.0 * math.sqrt(bits * p * (1 - p)))
-
-
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
