@@ -1,165 +1,168 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source of weight w has its j-th block (from 0) released at floor(j / w) and due at ceil((j + 1) / w).
-Serving the released block of the earliest deadline in each slot keeps every source within one block of
-its share at all times. With whole-number weights the schedule repeats after their sum, so one short
-cycle is worked out per phase; a phase ends when a source has no rows left, and the others go on
-with their weights. Each row's slot follows from its rank in its source; no row is dropped or repeated.
+In the ideal mix every source that has rows left is served at once, in proportion to its weight; what a source
+has received by slot t is a fraction. The j-th block (from 0) of a source is released in the slot in which the ideal
+begins it and due by the end of the slot in which the ideal ends it. Serving the released block of the earliest deadline in
+each slot keeps every source within one block of the ideal at all times, also while others run out, as the ideal then gives
+their share to the rest. Weights are exact fractions, however many sources there are.
+
+A block is a run of rows of one source, as many that there are MAX_BLOCKS at most, one row in tables of up to as many rows. The
+order of the blocks is worked out in one task, whose work is bounded by that; the rows are ranked and joined to it in parallel.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from fractions import Fraction
+from itertools import accumulate
+from math import lcm
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborq.llm.common import gapless_rank, table
 
-MAX_POOLS = 64
-MAX_CYCLE = 1000
+#: Bound of the driver's state: a name, a weight and a count for each source.
+MAX_SOURCES = 200_000
+MAX_BLOCKS = 1_000_000
 REST = "*"
 
 
-def cycle(weights: dict[str, int]) -> list[str]:
-    """One cycle of the earliest-deadline-first order: source by slot, `weights[s]` slots for each source s."""
-    total = sum(weights.values())
-    waiting = [(0, name, 0) for name in sorted(weights) if weights[name] > 0]  # (release, source, block)
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []  # (deadline, source, block)
-    order = []
-    for slot in range(total):
-        while waiting and waiting[0][0] <= slot:
-            _, name, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * total // weights[name]), name, j))
-        _, name, j = heapq.heappop(ready)
-        order.append(name)
-        if j + 1 < weights[name]:
-            heapq.heappush(waiting, ((j + 1) * total // weights[name], name, j + 1))
-    return order
+@dataclass(frozen=True)
+class Ideal:
+    """Sources with whole-number weights and row counts, in the order in which they run out; slots begin at `start`."""
+
+    names: list[str]
+    weights: list[int]
+    counts: list[int]
+    start: int = 0
+    gone: list[int] = field(init=False)  # rows of the sources that have run out, and the weight of the others, by phase
+    rest: list[int] = field(init=False)
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "gone", list(accumulate(self.counts, initial=0)))
+        object.__setattr__(self, "rest", list(accumulate(reversed(self.weights), initial=0))[::-1])
+
+    @staticmethod
+    def of(weights: dict[str, Fraction], counts: dict[str, int], start: int = 0) -> Ideal:
+        scale = lcm(*(weights[s].denominator for s in counts))
+        whole = {s: int(weights[s] * scale) for s in counts}
+        order = sorted(counts, key=lambda s: (Fraction(counts[s], whole[s]), s))
+        return Ideal(order, [whole[s] for s in order], [counts[s] for s in order], start)
+
+    @property
+    def slots(self) -> int:
+        return self.gone[-1]
+
+    def slot_of(self, source: int, block: int, phase: int) -> tuple[int, int, int]:
+        """The slots, rounded down and up, by which the ideal has given a source `block` blocks; and the phase, searched from one on."""
+        w = self.weights[source]
+        while phase < source and block * self.weights[phase] >= self.counts[phase] * w:
+            phase += 1
+        whole, part = divmod(block * self.rest[phase], w)
+        return self.gone[phase] + whole, self.gone[phase] + whole + (part > 0), phase
+
+    def served(self) -> Iterator[tuple[str, int, int, int, int, int]]:
+        """(source, block, phase, slot, release, deadline) of every block, in the order of the slots."""
+        phases = [0] * len(self.names)
+        waiting: list[tuple[int, int, int, int]] = []  # (release, source, block, deadline)
+        ready: list[tuple[int, int, int, int]] = []  # (deadline, source, block, release)
+
+        def wait(i: int, block: int) -> None:
+            release, _, phases[i] = self.slot_of(i, block, phases[i])
+            heapq.heappush(waiting, (release, i, block, self.slot_of(i, block + 1, phases[i])[1]))
+
+        for i in range(len(self.names)):
+            wait(i, 0)
+        for slot in range(self.slots):
+            while waiting and waiting[0][0] <= slot:
+                release, i, block, deadline = heapq.heappop(waiting)
+                heapq.heappush(ready, (deadline, i, block, release))
+            deadline, i, block, release = heapq.heappop(ready)
+            yield self.names[i], block, phases[i], self.start + slot, self.start + release, self.start + deadline
+            if block + 1 < self.counts[i]:
+                wait(i, block + 1)
+
+
+def ideals(weights: dict[str, Fraction], counts: dict[str, int]) -> list[Ideal]:
+    """The mix of the sources with a weight, then, with equal shares, of those whose weight is 0: no row is dropped."""
+    found, start = [], 0
+    for share in ({s: weights[s] for s in counts if weights[s] > 0}, {s: Fraction(1) for s in counts if weights[s] <= 0}):
+        if share:
+            found.append(Ideal.of(share, {s: counts[s] for s in share}, start))
+            start += found[-1].slots
+    return found
 
 
-@dataclass(frozen=True)
-class Phase:
-    """Blocks first to first + blocks - 1 of each source fill the slots from `start` on, cycle after cycle.
+def tempered_weights(docs: DataFrame, source: str = "source", power: float = 0.5) -> dict[str, float]:
+    """Target shares that grow as a power of the sources' row counts; null sources are the pool `*`. MAX_SOURCES at most."""
+    counts = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit(REST)).alias("s")).count()
+    return {r["s"]: float(r["count"]) ** power for r in _bounded(counts)}
 
-    The last cycle may have sources that run out in it; `tail` has the slots of that cycle for each
-    source's blocks that are left, counted from `tail_start`.
-    """
 
-    start: int
-    weights: dict[str, int]
-    first: dict[str, int]
-    cycles: int
-    order: list[str]
-    tail_start: int
-    tail: list[str]
-
-
-def phases(weights: dict[str, int], counts: dict[str, int]) -> list[Phase]:
-    """The phases that place counts[s] blocks of each source s; one source at least ends in each."""
-    left = {s: n for s, n in counts.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    found, slot = [], 0
-    while left:
-        active = {s: weights[s] for s in left}
-        order = cycle(active)
-        cycles = min(left[s] // active[s] for s in left)
-        first = dict(done)
-        for s in left:
-            left[s] -= cycles * active[s]
-            done[s] += cycles * active[s]
-        tail, given = [], dict.fromkeys(left, 0)
-        for s in order:  # one more cycle; a source without blocks passes its slot on
-            if given[s] < left[s]:
-                given[s] += 1
-                tail.append(s)
-        for s, n in given.items():
-            left[s] -= n
-            done[s] += n
-        tail_start = slot + cycles * len(order)
-        found.append(Phase(slot, active, first, cycles, order, tail_start, tail))
-        slot = tail_start + len(tail)
-        left = {s: n for s, n in left.items() if n > 0}
+def _bounded(rows: DataFrame) -> list:
+    found = rows.limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     return found
 
 
-def whole_weights(shares: dict[str, float], total: int = MAX_CYCLE) -> dict[str, int]:
-    """Shares as whole numbers that add up to about `total`; every source has 1 at least."""
-    positive = {s: max(float(w), 0.0) for s, w in shares.items()}
-    size = sum(positive.values()) or 1.0
-    return {s: max(1, round(total * w / size)) for s, w in positive.items()}
+def schedule(spark: SparkSession, plan: list[Ideal], counts: dict[str, int], size: int) -> DataFrame:
+    """(pool, block, phase, turn, first, release, deadline) of every block of `size` rows: its turn in the order, and its first row's slot."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        first = 0
 
-def pool_of(source: Column, names: list[str]) -> Column:
-    """The source's name, or the pool of the rest for null and unlisted sources."""
-    return F.when(source.isin(*names), source).otherwise(F.lit(REST)) if names else F.lit(REST)
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i == 0 else pa.int64()) for i in range(7)], ["pool", "block", "phase", "turn", "release", "deadline", "first"])
 
+        for _ in batches:
+            for ideal in plan:
+                for row in ideal.served():
+                    rows.append((*row, first))
+                    first += min(size, counts[row[0]] - row[1] * size)
+                    if len(rows) == 50_000:
+                        yield out()
+                        rows.clear()
+            yield out()
+            rows.clear()
 
-def tempered_weights(docs: DataFrame, source: str = "source", power: float = 0.5, pools: int = MAX_POOLS) -> dict[str, float]:
-    """Target shares that grow as a power of the sources' row counts, for the largest `pools` - 1 sources and the rest."""
-    counts = docs.groupBy(source).agg(F.count(F.lit(1)).alias("n"))
-    named = counts.where(F.col(source).isNotNull() & (F.col(source) != REST))
-    top = named.orderBy(F.desc("n"), source).limit(pools - 1).collect()
-    shares = {str(r[source]): float(r["n"]) ** power for r in top}
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    rest = total - sum(r["n"] for r in top)
-    return shares | ({REST: float(rest) ** power} if rest else {})
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "pool string, block long, phase long, turn long, release long, deadline long, first long")
 
 
-def mix(docs: DataFrame, targets: dict[str, float], key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """Every row of docs, as the struct `row`, with pool, rank (in the pool), phase, slot (gapless from 0), release and deadline.
+def mix(docs: DataFrame, targets: dict[str, float], key: str = "doc_id", source: str = "source", text: str = "text", max_blocks: int = MAX_BLOCKS) -> DataFrame:
+    """Every row of docs, as the struct `row`, with pool, rank (in the pool), phase, slot (gapless from 0), turn, release and deadline.
 
-    targets gives the weight of each source (MAX_POOLS at most, only ratios count); sources that are null
-    or not listed share the pool `*`, with the least listed weight unless it is listed. A block is one row.
-    Ranks follow a hash of the key and text, so repeated rows get ranks of their own and a null key is a key
-    like others. An empty table gives an empty result. release and deadline are the window of the row's
-    block in slots, counted as the schedule ran in its phase. Driver state: one count for each pool.
+    targets gives the weight of each source, taken as the exact fraction it is (only ratios count); sources that are
+    null or not listed share the pool `*`, with the least listed weight unless it is listed. A weight of 0 is served after
+    all others. A block is one row, or in tables of more than max_blocks rows as many as make so few blocks. Ranks follow a hash of the key and text, so repeated rows get ranks of their own and a
+    null key is a key like others. An empty table gives an empty result. turn is the block's place
+    in the order (the slot, if blocks are rows), and release <= turn < deadline, the window that the ideal mix gives the block; phase counts the sources that have run out in the ideal. Driver state: a weight
+    and a count for each source, MAX_SOURCES at most.
     """
-    if len(targets) > MAX_POOLS:
-        raise ValueError(f"at most {MAX_POOLS} targets")
-    shares = dict(targets)
-    if REST not in shares:
-        shares[REST] = min(shares.values(), default=1.0)
-    weights = whole_weights(shares)
-    pooled = docs.select(
-        F.struct(*docs.columns).alias("row"),
-        pool_of(F.col(source).cast("string"), [s for s in weights if s != REST]).alias("_pool"),
-        F.xxhash64(F.col(key), F.col(text)).alias("_tie"),
-        F.col(key).alias("_key"),
-    )
-    counts = {r["_pool"]: r["count"] for r in pooled.groupBy("_pool").count().collect()}
-    plan = phases(weights, counts)
+    shares = {s: Fraction(w) for s, w in targets.items()}
+    shares.setdefault(REST, min(shares.values(), default=Fraction(1)))
     spark = docs.sparkSession
-    spans, places = [], []
-    for p, ph in enumerate(plan):
-        size = len(ph.order)
-        for s, w in ph.weights.items():
-            spans.append((p, s, ph.first[s], ph.first[s] + ph.cycles * w + ph.tail.count(s), w, size, ph.cycles, ph.start, ph.tail_start))
-        for kind, order in ((0, ph.order), (1, ph.tail)):
-            seen: dict[str, int] = {}
-            for at, s in enumerate(order):
-                places.append((p, s, kind, seen.get(s, 0), at))
-                seen[s] = seen.get(s, 0) + 1
-    span = spark.createDataFrame(
-        spans, "_phase int, s string, lo long, hi long, w int, size int, cycles long, start long, tail_start long"
-    )
-    place = spark.createDataFrame(places, "p int, ps string, kind int, k int, at int")
-    ranked = gapless_rank(pooled, ["_pool"], ["_tie", "_key"], "_rank", spread=["_tie"])
-    inside = F.col("_rank") - F.col("lo")
-    turn = F.least(F.floor(inside / F.col("w")), F.col("cycles"))
-    sited = ranked.join(F.broadcast(span), (F.col("_pool") == F.col("s")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
-    sited = sited.withColumn("_turn", turn).withColumn("_k", (inside - turn * F.col("w")).cast("int")).withColumn("_kind", (turn >= F.col("cycles")).cast("int"))
-    on = (F.col("_phase") == F.col("p")) & (F.col("_pool") == F.col("ps")) & (F.col("_kind") == F.col("kind")) & (F.col("_k") == F.col("k"))
-    base = F.when(F.col("_kind") == 1, F.col("tail_start")).otherwise(F.col("start") + F.col("_turn") * F.col("size"))
-    cycle_start = F.col("start") + F.col("_turn") * F.col("size")
-    return (
-        sited.join(F.broadcast(place), on)
-        .withColumn("_slot", (base + F.col("at")).cast("long"))
-        .withColumn("_release", (cycle_start + F.floor(F.col("_k") * F.col("size") / F.col("w"))).cast("long"))
-        .withColumn("_deadline", (cycle_start + F.ceil((F.col("_k") + 1) * F.col("size") / F.col("w"))).cast("long"))
-        .select("row", *(F.col(f"_{c}").alias(c) for c in ("pool", "rank", "phase", "slot", "release", "deadline")))
+    name = F.col(source).cast("string")
+    listed = F.broadcast(spark.createDataFrame([(s,) for s in shares], "_pool string"))
+    pooled = docs.select(F.struct(*docs.columns).alias("row"), name.alias("_name"), F.xxhash64(F.col(key), F.col(text)).alias("_tie"), F.col(key).alias("_key"))
+    pooled = pooled.join(listed, F.col("_name") == F.col("_pool"), "left").withColumn("_pool", F.coalesce("_pool", F.lit(REST))).drop("_name")
+    counts = {r["_pool"]: r["count"] for r in _bounded(pooled.groupBy("_pool").count())}
+    if not counts:
+        none = F.lit(None).cast("long")
+        return pooled.select("row", F.col("_pool").alias("pool"), *(none.alias(c) for c in ("rank", "phase", "slot", "turn", "release", "deadline")))
+    ranked = gapless_rank(pooled, ["_pool"], ["_tie", "_key"], "_rank", buckets=max(1, min(1024, 65_536 // len(counts))), spread=["_tie"])
+    size = max(1, -(-sum(counts.values()) // max(1, max_blocks)))
+    plan = ideals(shares, {s: -(-n // size) for s, n in counts.items()})
+    placed = schedule(spark, plan, counts, size).withColumnsRenamed({"pool": "_p", "block": "_b"})
+    block = F.floor(F.col("_rank") / size) if size > 1 else F.col("_rank")
+    both = ranked.withColumn("_block", block).join(placed, (F.col("_pool") == F.col("_p")) & (F.col("_block") == F.col("_b")))
+    return both.select(
+        "row", F.col("_pool").alias("pool"), F.col("_rank").alias("rank"), "phase", (F.col("first") + F.col("_rank") - F.col("_block") * size).alias("slot"), "turn", "release", "deadline"
     )
 
 

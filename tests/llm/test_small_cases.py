@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, operator by operator."""
 
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -221,6 +222,8 @@ def test_vectors(spark):
     got = {x["vec_id"]: x for x in vectors.near_duplicates(df, block=16).collect()}
     fine = {i: (np.array(v) / np.linalg.norm(v), lab) for i, v, lab in rows if v and lab is not None and len(v) == 32 and not np.isnan(v).any() and any(v)}
     links = {(a, b) for a in fine for b in fine if a != b and fine[a][1] == fine[b][1] and fine[a][0] @ fine[b][0] >= 0.93}
+    assert len(all_rows := vectors.near_duplicates(df.unionByName(df.limit(1).withColumn("vec_id", F.lit(None).cast("long"))), block=16).collect()) == len(rows) + 1
+    assert [(x["n_links"], x["component_id"], x["kept"]) for x in all_rows if x["vec_id"] is None] == [(0, None, True)]
     found = sum(x["n_links"] for x in got.values())
     assert 0.9 * len(links) <= found <= len(links)
     for i, x in got.items():
@@ -286,16 +289,18 @@ def test_alignment_matches_the_textbook():
             else:
                 b.insert(r.randrange(len(b) + 1), r.randrange(4))
         limit, d = r.randrange(0, 12), full(a, b)
-        got = near_dedup.edits(np.array(a, np.uint64), np.array(b, np.uint64), limit)
-        assert got == d if d <= limit else limit < got <= d
+        assert near_dedup.edits(a, b, limit) == d if d <= limit else limit < near_dedup.edits(a, b, limit) <= d
+        k = r.randrange(1, 12)
+        long, short = (a, b) if len(a) >= len(b) else (b, a)
+        assert near_dedup._banded(long, short, k) == min(d, k + 1)
 
 
 def test_mixing(spark, clashing):
     for weights in ({"a": 500, "b": 300, "c": 200}, {"a": 3, "b": 1, "c": 7, "d": 1}, {"x": 997, "y": 1, "z": 2}):
-        order, seen = mixing.cycle(weights), dict.fromkeys(weights, 0)
-        for t, s in enumerate(order, 1):
+        (plan,), seen, total = mixing.ideals({s: Fraction(w) for s, w in weights.items()}, weights), dict.fromkeys(weights, 0), sum(weights.values())
+        for t, (s, *_) in enumerate(plan.served(), 1):
             seen[s] += 1
-            assert all(abs(seen[k] - w * t / len(order)) < 1 for k, w in weights.items())
+            assert all(abs(seen[k] - w * t / total) < 1 for k, w in weights.items())
     got = mixing.mix(clashing, {"s": 3, "t": 1}).collect()
     assert len(got) == 7 and sorted(r["slot"] for r in got) == list(range(7)) and {r["row"]["score"] for r in got} == {7}
     assert {r["pool"] for r in got if r["row"]["source"] is None} == {"*"}
@@ -303,9 +308,11 @@ def test_mixing(spark, clashing):
     targets = {"a": 5, "b": 1, "c": 1, "d": 2, "e": 1}
     mixed = sorted(mixing.mix(rows, targets).collect(), key=lambda r: r["slot"])
     assert [r["slot"] for r in mixed] == list(range(3000))
-    first = [r for r in mixed if r["phase"] == 0][:600]
-    assert all(r["release"] <= r["slot"] < r["deadline"] for r in first)
-    assert abs(sum(r["row"]["source"] == "a" for r in first) - 300) <= 1
+    assert all(r["release"] <= r["turn"] == r["slot"] < r["deadline"] for r in mixed)
+    assert abs(sum(r["row"]["source"] == "a" for r in mixed[:600]) - 300) <= 1
+    coarse = sorted(mixing.mix(rows, targets, max_blocks=100).collect(), key=lambda r: r["slot"])
+    assert [r["slot"] for r in coarse] == list(range(3000)) and all(r["release"] <= r["turn"] < r["deadline"] for r in coarse)
+    assert {(r["pool"], r["rank"]) for r in coarse} == {(r["pool"], r["rank"]) for r in mixed}
     assert mixing.in_order(mixing.mix(rows, targets)).columns == rows.columns
     assert mixing.mix(docs(spark, []), targets).isEmpty() and mixing.tempered_weights(docs(spark, [])) == {}
 
