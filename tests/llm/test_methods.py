@@ -1,14 +1,16 @@
 """Whole methods against brute force: labelling by the cut, windows of the mix, recall of candidates, components of vectors."""
 
 import itertools
+import os
 import random
 import re
+import textwrap
 from fractions import Fraction
 
 import numpy as np
 import pytest
 
-from arborq.llm import html_text, mixing, near_dedup, toxicity, vectors
+from arborq.llm import html_text, licenses, mixing, near_dedup, toxicity, vectors
 
 
 def page(r):
@@ -161,6 +163,42 @@ def test_vectors_match_brute_force(spark, monkeypatch, probe):
     assert all(component[got[i]["component_id"]] == component[i] for i in got)
 
 
+ISC = """Copyright (c) 2004-2010 by Internet Systems Consortium, Inc. ("ISC")
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY
+SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER
+RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE
+USE OR PERFORMANCE OF THIS SOFTWARE.
+"""
+
+
+def test_licences_as_their_stewards_write_them(spark):
+    wrap = lambda text: "\n\n".join(textwrap.fill(part, 70) for part in text.split("\n\n"))
+    bsd, mit = dict((n, t) for n, t in licenses.LICENSES if "Redistributions" in t and "*" not in t and not t.startswith("BSD"))["BSD-3-Clause"], licenses.LICENSES[0][1]
+    rows = [
+        (1, ISC), (2, "Copyright (c) 1998, Someone\nAll rights reserved.\n\n" + wrap(bsd)), (3, "Some words before.\n\n" + wrap(mit) + "\n\nAnd after.\n\nAgain."),
+        (4, "* " + wrap(licenses._ZLIB).replace("\n", "\n* ")), (5, wrap(licenses._UNLICENSE)), (6, "copyright notice and all that"),
+    ]
+    common = "/usr/share/common-licenses/"
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    there = {100 + i: f for i, f in enumerate(files) if os.path.exists(common + f)}
+    for i, f in there.items():
+        with open(common + f) as text:
+            rows.append((i, text.read()))
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), licenses.digest_table(spark)).collect()}
+    assert found[1]["licenses"] == ["ISC"] and found[1]["whole"] and found[2]["licenses"] == ["BSD-3-Clause"] and found[2]["whole"]
+    assert found[3]["licenses"] == ["MIT"] and not found[3]["whole"] and found[3]["n_units"] == 1
+    assert found[4]["licenses"] == ["Zlib"] and found[5]["licenses"] == ["Unlicense"] and not found[6]["licenses"]
+    assert all(found[i]["licenses"] == [files[f]] and found[i]["whole"] for i, f in there.items())
+
+
 def test_lexicon_matches_a_naive_scan():
     r = random.Random(2)
     letters = "abcd e"

@@ -69,11 +69,12 @@ def test_licenses(spark, clashing):
         (1, "Copyright (c) 2001 Someone\n\n" + mit.upper().replace(",", " ,"), None, None, 1), (2, "text\nReleased under the MIT Licence!\nmore\nlicensed under cc by-nc 4.0", None, None, 1),
         (3, "text " + mit, None, None, 1), (4, None, None, None, 1), (5, mit.replace("\n\n", "\r\n \r\n"), None, None, 1), (6, "intro\n\n" + licenses.LICENSES[0][1].replace("\n\n", "\n"), None, None, 1),
     ]
-    found = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, rows), licenses.digest_table(spark), [n for n, _ in licenses.LICENSES]).collect()}
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, rows), licenses.digest_table(spark)).collect()}
     assert found[1]["whole"] and found[1]["licenses"] == ["MIT"] and found[5]["whole"]
     assert found[2]["licenses"] == ["CC-BY-NC-4.0", "MIT"] and not found[2]["whole"] and found[2]["n_units"] == 2
-    assert found[3]["licenses"] == found[4]["licenses"] == [] and found[6]["licenses"] == ["MIT"] and not found[6]["whole"]
-    assert licenses.scan_licenses(clashing, licenses.digest_table(spark), ["MIT"]).count() == 6
+    assert found[3]["licenses"] == ["MIT"] and not found[3]["whole"] and found[4]["licenses"] == [] and found[6]["licenses"] == ["MIT"] and not found[6]["whole"]
+    assert licenses.scan_licenses(clashing, licenses.digest_table(spark)).count() == 6
+    assert licenses.scan_licenses(docs(spark, []), licenses.digest_table(spark)).isEmpty()
 
 
 def test_bpe(spark, clashing):
