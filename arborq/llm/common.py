@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from functools import reduce
 
@@ -23,14 +24,24 @@ def fresh_name(df: DataFrame, base: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder of spark.checkpoint.dir (a temporary one only where unset)."""
+    """Cut the lineage through the shared folder of spark.checkpoint.dir; only a local session may leave it unset."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         shared = sc.getConf().get("spark.checkpoint.dir", "")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files (and, where spark.cleaner.referenceTracking.cleanCheckpoints is set, the checkpoints) of tables that are
+    no longer in use. Its cleaner learns of these only when the driver collects its garbage, which a short plan of large stages may not cause.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_of_id(col: Column) -> Column:
     """crc32 of the id written in decimal; null ids count as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
