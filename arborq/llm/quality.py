@@ -57,10 +57,10 @@ def features(text: str) -> list[float]:
     counted = Counter(words)
     line_set = set(lines)
     return [
-        np.log1p(len(text)), np.log1p(len(words)), lengths.mean(), lengths.std(), min(int(lengths.max()), 200), float((lengths <= 2).mean()),
+        np.log1p(len(text)), np.log1p(len(words)), lengths.mean(), lengths.std(), np.log1p(int(lengths.max())), float((lengths <= 2).mean()),
         len(counted) / k, max(counted.values(), default=0) / k, sum(map(str.__eq__, words, words[1:])) / k,
         upper, digit, space, stop, mark, bang, bar, symbol, bracket, high, entropy,
-        np.log1p(len(lines)), min(len(text) / len(lines), 5000.0), len(line_set) / len(lines), sum(len(x) < 20 for x in lines) / len(lines),
+        np.log1p(len(lines)), np.log1p(len(text) / len(lines)), len(line_set) / len(lines), sum(len(x) < 20 for x in lines) / len(lines),
         sum(x.endswith((".", "?", "!")) for x in lines) / len(lines), sum(map(str.isupper, words)) / k,
         sum(not w[-1].isalnum() for w in words) / k,
     ]

@@ -1,9 +1,9 @@
 """Exact top-k inner products with vector-approximation files.
 
-Candidates and queries are dealt into blocks of bounded size, and each (query block, candidate block) pair
-is one group. In a group the candidates' components are quantised to cells of one byte; a scan of the
-cells bounds every score from above and below, and exact vectors are read in the order of the upper bound
-until the kth result is certain. The groups' k results for each query are then ranked together.
+The file holds, for chunks of rows, each dimension's range and every component as a cell of one byte; it is the only form in
+which all rows meet the queries. A scan of the cells bounds every score from above and below; rows whose upper bound
+is below a query's kth lower bound, in the block and then over all blocks, are out. Exact vectors are read for the
+rest alone, once, and ranked.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arborq.llm.common import table
+from arborq.llm.common import checkpointed, table
 
 CELLS = 255
 LONG_MAX, LONG_MIN = (1 << 63) - 1, -(1 << 63)
@@ -39,47 +40,49 @@ def scores_of(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([min(max(s, LONG_MIN), LONG_MAX) for s in sums], np.int64)
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best of the block: (query id, ids, scores), ties to the smaller id, its own id left out."""
-    low, high = x.min(0), x.max(0)
-    width = np.where(high > low, (high - low) / CELLS, 1.0)
-    cells = np.minimum((x - low) / width, CELLS - 1).astype(np.uint8)  # cell c holds low + c*width to low + (c+1)*width
-    approx = cells.astype(np.float32)
-    for a in range(0, len(q), 256):
-        part = q[a : a + 256]
-        scaled = part * width
-        base = part @ low
-        above = base + np.maximum(scaled, 0).sum(1)
-        spread = np.abs(scaled).sum(1)
-        # float32 sums and the double arithmetic of the cells are off by a small share of these magnitudes
-        slack = 1e-4 * spread * CELLS + 1e-9 * (np.abs(part) @ np.maximum(np.abs(low), np.abs(high))) + 1.0
-        upper = (scaled.astype(np.float32) @ approx.T).astype(np.float64) + (above + slack)[:, None]
-        gap = spread + 2 * slack
-        for i, one in enumerate(part):
-            mine = q_ids[a + i]
-            bound = upper[i]
-            bound[ids == mine] = -np.inf
-            if len(ids) > k:
-                kth = np.partition(bound, len(ids) - k)[len(ids) - k]
-                near = np.flatnonzero(bound >= kth - gap[i])
-            else:
-                near = np.arange(len(ids))
-            near = near[bound[near] > -np.inf]
-            near = near[np.argsort(-bound[near], kind="stable")]
-            best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            step, at = max(4 * k, 64), 0
-            while at < len(near) and not (len(best) == k and bound[near[at]] < best[-1]):
-                some = near[at : at + step]
-                best = np.concatenate([best, scores_of(one, x[some])])
-                best_ids = np.concatenate([best_ids, ids[some]])
-                order = np.lexsort((best_ids, ~best))[:k]  # ~x reverses the order without overflow
-                best, best_ids, at, step = best[order], best_ids[order], at + step, step * 2
-            yield mine, best_ids, best
+def approximated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, v, d) as chunks of the file: (d, low, width, ids, cells), one for each batch and length of vectors."""
+    for batch in batches:
+        f = batch.to_pandas()
+        for d, part in f.groupby("d"):
+            x = _matrix(part["v"])
+            low, high = x.min(0), x.max(0)
+            width = np.where(high > low, (high - low) / CELLS, 1.0)
+            cells = np.minimum((x - low) / width, CELLS - 1).astype(np.uint8)  # cell c holds low + c*width to low + (c+1)*width
+            yield pa.RecordBatch.from_pydict(
+                {"d": pa.array([d], pa.int32()), "low": [low.tolist()], "width": [width.tolist()], "ids": pa.array([part["id"].to_numpy()], pa.list_(pa.int64())), "cells": pa.array([cells.tobytes()], pa.binary())}
+            )
+
+
+def bounds_of(q: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Upper and lower bounds of the scores of queries with a chunk's rows."""
+    scaled = q * width
+    spread = np.abs(scaled).sum(1)
+    # float32 sums and the double arithmetic of the cells are off by a small share of these magnitudes
+    slack = 1e-4 * spread * CELLS + 1e-9 * (np.abs(q) @ np.maximum(np.abs(low), np.abs(low + CELLS * width))) + 1.0
+    with np.errstate(over="ignore", invalid="ignore"):
+        upper = (scaled.astype(np.float32) @ cells.astype(np.float32).T).astype(np.float64) + (q @ low + np.maximum(scaled, 0).sum(1) + slack)[:, None]
+        lower = upper - (spread + 2 * slack)[:, None]
+    return np.where(np.isfinite(upper), upper, np.inf), np.where(np.isfinite(lower), lower, -np.inf)
+
+
+def survivors(q_ids: np.ndarray, q: np.ndarray, chunks: pd.DataFrame, k: int, step: int = 64) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query the rows of the chunks that may be among its k best: (query id, ids, upper, lower), its own id left out."""
+    ids = np.concatenate([np.asarray(x, np.int64) for x in chunks["ids"]])
+    files = [(np.asarray(low), np.asarray(width), np.frombuffer(cells, np.uint8).reshape(-1, len(low))) for low, width, cells in zip(chunks["low"], chunks["width"], chunks["cells"], strict=True)]
+    for a in range(0, len(q), step):
+        both = [bounds_of(q[a : a + step], *f) for f in files]
+        upper, lower = (np.concatenate([b[i] for b in both], axis=1) for i in (0, 1))
+        for i, mine in enumerate(q_ids[a : a + step]):
+            others = np.flatnonzero(ids != mine)
+            least = np.partition(lower[i, others], len(others) - k)[len(others) - k] if len(others) > k else -np.inf
+            near = others[upper[i, others] >= least]
+            yield mine, ids[near], upper[i, near], lower[i, near]
 
 
 def top_k(
     vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, key: str = "vec_id", vector: str = "embedding",
-    query_block: int = 2048, candidate_block: int = 16384,
+    query_block: int = 2048, candidate_block: int = 65536,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each query row by integer inner product.
 
@@ -88,8 +91,8 @@ def top_k(
     null keys, take no part; vectors of another length than the query's are no candidates for it. Rows that
     repeat a key are candidates each, and one query together (the first by its vector). Ties go to the
     smaller key. Fewer than k candidates give as many rows; an empty table gives none. Scores beyond
-    the range of long stop at its ends. Block sizes bound a group's memory; each candidate is sent once
-    for each query block and each query once for each candidate block.
+    the range of long stop at its ends. Block sizes bound a group's memory; each chunk of cells is sent once
+    for each query block and each query once for each candidate block; exact vectors are sent once.
     """
     x = F.col(vector)
     usable = vectors.where(x.isNotNull() & (F.size(x) > 0) & F.col(key).isNotNull()).where(
@@ -103,27 +106,36 @@ def top_k(
     queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min_by("v", F.struct("d", "v")).alias("v")).withColumn("d", F.size("v"))
     n, n_queries = usable.count(), queries.count()
     blocks, q_blocks = max(1, math.ceil(n / candidate_block)), max(1, math.ceil(n_queries / query_block))
-    at = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
-    candidates = rows.withColumn("c", at(blocks)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    asked = queries.withColumn("q", at(q_blocks)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    file = rows.mapInArrow(approximated, "d int, low array<double>, width array<double>, ids array<long>, cells binary")
+    dealt = file.withColumn("c", F.pmod(F.xxhash64("ids"), F.lit(blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    asked = queries.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-    def run(asked_part: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, np.ndarray, np.ndarray]] = []
+    def scan(asked_part: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         for d, some in asked_part.groupby("d"):
-            mine = block[block["d"] == d]
+            mine = chunks[chunks["d"] == d]
             if len(mine):
-                found += search_block(some["id"].to_numpy(), _matrix(some["v"]), mine["id"].to_numpy(), _matrix(mine["v"]), k)
+                found += survivors(some["id"].to_numpy(), _matrix(some["v"]), mine, k)
         if not found:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            return pd.DataFrame({"query_id": [], "id": [], "upper": [], "lower": []}).astype({"query_id": "int64", "id": "int64"})
         return pd.DataFrame({
             "query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]),
-            "vec_id": np.concatenate([f[1] for f in found]),
-            "score": np.concatenate([f[2] for f in found]),
+            **{c: np.concatenate([f[i] for f in found]) for i, c in ((1, "id"), (2, "upper"), (3, "lower"))},
         })
 
-    local = asked.groupBy("q", "c").cogroup(candidates.groupBy("q", "c")).applyInPandas(run, "query_id long, vec_id long, score long")
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            scores = [scores_of(np.asarray(q, np.float64), np.asarray(v, np.float64)[None, :])[0] for q, v in zip(f["q"], f["v"], strict=True)]
+            yield pd.DataFrame({"query_id": f["query_id"], "vec_id": f["id"], "score": np.array(scores, np.int64)})
+
+    local = checkpointed(asked.groupBy("q", "c").cogroup(dealt.groupBy("q", "c")).applyInPandas(scan, "query_id long, id long, upper double, lower double"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lower")))
+    least = local.withColumn("place", place).where(F.col("place") <= k).groupBy("query_id").agg(F.min("lower").alias("least"), F.count(F.lit(1)).alias("n"))
+    near = local.join(least, "query_id").where((F.col("upper") >= F.col("least")) | (F.col("n") < k)).select("query_id", "id").distinct()
+    both = near.join(rows, "id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("d").alias("q_d")), "query_id")
+    scored = both.where("d = q_d").select("query_id", "id", "v", "q").mapInPandas(exact, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ LOOKALIKES = {
 INSIDE_WORDS = {"@": "a", "$": "s", "!": "i", "€": "e", "£": "i", "+": "t", "(": "c"}
 HIDDEN = "​‌‍⁠﻿­"
 STEM_LENGTHS = range(4, 9)
-WORD_LENGTHS = range(3, 33)
+SHORTEST_WORD = 3
 _INSIDE = re.compile("(?<=[^\\W_])[@$!€£+(](?=[^\\W_])")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -155,7 +155,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
 def _patterns(text: str) -> set[str]:
     found = set()
     for w in set(_WORD.findall(fold(text))):
-        if len(w) in WORD_LENGTHS:
+        if len(w) >= SHORTEST_WORD:
             found.add(w)
         found.update(w[:n] + "*" for n in STEM_LENGTHS if n < len(w))
     return found
@@ -193,11 +193,12 @@ def _contexts(batches: Iterator[pd.DataFrame], candidates: frozenset[str]) -> It
         yield pd.DataFrame(list(rows), columns=["pattern", "before", "word", "after", "label"])
 
 
-def fit(sample: DataFrame, min_support: int = 6, max_candidates: int = 4000, max_entries: int = 1500) -> ToxicityModel:
+def fit(sample: DataFrame, min_support: int = 6) -> ToxicityModel:
     """Learn lexicon, exceptions and curve from a bounded (text, label) sample.
 
     Patterns are counted over distinct texts, then over distinct neighbouring words, so that copies and near
-    copies of one toxic text do not make its other words into entries. Without labels of both kinds the
+    copies of one toxic text do not make its other words into entries. Lexicon and exceptions are as large as the
+    sample's patterns of enough support, which the bound of the sample bounds. Without labels of both kinds the
     base lexicon is used with a fixed curve.
     """
     base = {fold(w): BASE_WEIGHT for w in BASE_WORDS}
@@ -213,8 +214,7 @@ def fit(sample: DataFrame, min_support: int = 6, max_candidates: int = 4000, max
         .groupBy("pattern")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .where((F.col("toxic") >= min_support) & (ratio >= 8))
-        .orderBy(F.desc("toxic"), "pattern")
-        .limit(max_candidates)
+        .select("pattern")
     )
     candidates = frozenset(r["pattern"] for r in ranked.collect()) | {w for w in base}
     around = texts.mapInPandas(
@@ -244,20 +244,17 @@ def fit(sample: DataFrame, min_support: int = 6, max_candidates: int = 4000, max
                 stems[p[:-1]] = weight(clean, toxic)
         else:
             words[p] = weight(clean, toxic)
-    kept = sorted([(-w, p, True) for p, w in stems.items()] + [(-w, p, False) for p, w in words.items()])[:max_entries]
-    stems, words = {p: -w for w, p, s in kept if s}, {p: -w for w, p, s in kept if not s}
     for p, w in base.items():
         clean, toxic, _ = seen.get(p, (0, 0, 0))
         if p not in words and not any(p.startswith(s) for s in stems) and clean <= toxic + 3:
             words[p] = w
+    entries = sample.sparkSession.createDataFrame([(p,) for p in (*words, *(s + "*" for s in stems))], "pattern string")
     harmless = (
-        around.where(F.col("pattern").isin(list(words)[:max_entries]) if words else F.lit(False))
+        around.join(F.broadcast(entries), "pattern")
         .select(F.explode(F.array(F.concat_ws(" ", "before", "word"), F.concat_ws(" ", "word", "after"))).alias("phrase"), "before", "after", "label")
         .groupBy("phrase")
         .agg(F.countDistinct(F.when(F.col("label") == 0, F.xxhash64("before", "after"))).alias("clean"), F.max("label").alias("toxic"))
         .where((F.col("clean") >= 3) & (F.col("toxic") == 0) & F.col("phrase").contains(" "))
-        .orderBy(F.desc("clean"), "phrase")
-        .limit(500)
         .collect()
     )
     exceptions |= {r["phrase"].strip() for r in harmless if " " in r["phrase"].strip()}
