@@ -12,6 +12,7 @@ REJECT_TOXIC, ACCEPT_QUALITY = 0.5, quality.ACCEPT
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below REJECT_TOXIC. Null and empty texts hold no entry and stay; repeated rows are judged alike; an empty table stays empty."""
     model = toxicity.train(spark, docs, table(spark, sf_dir, "labels"))
     at = fresh_name(docs, "score")
     scored = toxicity.score(docs, model, out=at)
@@ -19,6 +20,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored ACCEPT_QUALITY or more. A null text is judged as an empty one; repeated rows are judged alike; an empty table stays empty."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     at = fresh_name(docs, "score")
     scored = quality.score(docs, model, out=at)
@@ -26,15 +28,17 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies. Null and blank texts and rows without an id stay; rows that repeat an id are one document."""
     return near_dedup.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, in the order of the mix: part files of consecutive slots."""
+    """Every row once, in the order of the mix: part files of consecutive slots. Rows without a source share a pool; an empty table stays empty."""
     return mixing.in_order(mixing.mix(docs, mixing.tempered_weights(docs)))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and digests of every row's whole text; a null text has no ids. Repeated rows and ids stay; an empty table gives no rows."""
     return bpe.digests(docs, bpe.vocabulary())
 
 
