@@ -160,7 +160,7 @@ def mix(docs: DataFrame, targets: dict[str, float], key: str = "doc_id", source:
     plan = ideals(shares, {s: -(-n // size) for s, n in counts.items()})
     placed = schedule(spark, plan, counts, size).withColumnsRenamed({"pool": "_p", "block": "_b"})
     block = F.floor(F.col("_rank") / size) if size > 1 else F.col("_rank")
-    both = ranked.withColumn("_block", block).join(placed, (F.col("_pool") == F.col("_p")) & (F.col("_block") == F.col("_b")))
+    both = ranked.withColumn("_block", block).join(placed.hint("merge"), (F.col("_pool") == F.col("_p")) & (F.col("_block") == F.col("_b")))
     return both.select(
         "row", F.col("_pool").alias("pool"), F.col("_rank").alias("rank"), "phase", (F.col("first") + F.col("_rank") - F.col("_block") * size).alias("slot"), "turn", "release", "deadline"
     )
