@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arborq.llm import bpe, html_text, licenses, mixing, near_dedup, quality, sharding, topk, toxicity, vectors
+from arborq.llm import bpe, fim, html_text, licenses, mixing, near_dedup, orchard, pii, quality, sharding, topk, toxicity, vectors
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,5 +15,8 @@ QUERIES = {
     "op9_license_scan": licenses.op9_license_scan,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op11_pii": pii.op11_pii,
+    "op12_orchard": orchard.op12_orchard,
+    "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
-ORACLE_SQL = {"op5_exact_topk": topk.OP5_SQL, "op9_license_scan": licenses.OP9_SQL}
+ORACLE_SQL = {"op5_exact_topk": topk.OP5_SQL, "op9_license_scan": licenses.OP9_SQL, "op12_orchard": orchard.OP12_SQL, "op13_fill_in_middle": fim.OP13_SQL}
