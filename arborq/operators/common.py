@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,3 +35,11 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], out: str) -> Da
     on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*group, "_part")]
     joined = mine.join(offsets.alias("r"), on)
     return joined.select(*(F.col(f"l.`{c}`") for c in df.columns), (F.col("l._i") + F.col("r._before")).cast("long").alias(out))
+
+
+def listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as literals in the plan, so that no Python worker hands them out."""
+    columns = [c.split() for c in schema.split(", ")]
+    made = [F.struct(*(F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, columns, strict=True))) for row in rows]
+    kind = "array<struct<" + ",".join(f"{name}:{kind}" for name, kind in columns) + ">>"
+    return spark.range(1).select(F.inline(F.array(*made) if made else F.array().cast(kind)))

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from arborq.plans import catalog
+from arborq.plans import catalog, deep
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -32,11 +32,14 @@ def rows(df):
     return sorted(tuple(map(plain, r)) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+QUERIES, SQL = catalog.QUERIES | deep.QUERIES, catalog.SQL | deep.SQL
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="the tables are not here")
 def test_query(spark, db, name):
-    got = catalog.QUERIES[name](spark, TABLES).toPandas()
-    want = db.execute(catalog.SQL[name]).df()
+    got = QUERIES[name](spark, TABLES).toPandas()
+    want = db.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
     assert len(got)
