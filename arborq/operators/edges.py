@@ -67,24 +67,26 @@ def relation_types(edges: DataFrame, configured: list[str]) -> DataFrame:
 
 
 def ancestors(edges: DataFrame, roots: DataFrame, relations: list[str] | None = None) -> DataFrame:
-    """(root, path, depth, via, implied, implied_from): breadth-first along incoming edges, each note once for a root."""
+    """(root, path, depth, via, implied, implied_from): breadth-first along incoming edges, each note once for a root.
+
+    A note is told by the first edge that leads to it: from the notes of a level in the order in which they were found, and for
+    each by ord, whatever the relation (equal ones by source, then relation).
+    """
     kept = edges.where(F.col("relation").isin(relations)) if relations else edges
-    kept = kept.select(F.col("dst").alias("_at"), F.col("src").alias("path"), F.col("relation").alias("via"), "implied", "implied_from", "ord")
+    kept = checkpointed(kept.select(F.col("dst").alias("_at"), F.col("src").alias("path"), F.col("relation").alias("via"), "implied", "implied_from", "ord"))
     start = roots.select(F.col("path").alias("root"), F.col("path")).distinct()
-    seen, frontier, levels = start, start, []
+    none = F.array().cast("array<struct<ord:bigint,path:string>>")
+    seen, frontier, levels = start, start.withColumn("place", none), []
     for depth in count(1):
-        nearest = (
-            frontier.select("root", F.col("path").alias("_at"))
-            .join(kept, "_at")
-            .groupBy("root", "path")
-            .agg(F.min(F.struct("via", "implied", "implied_from", "_at", "ord")).alias("e"))
-        )
+        place = F.concat("place", F.array(F.struct("ord", "path")))
+        met = frontier.select("root", F.col("path").alias("_at"), "place").join(kept, "_at")
+        nearest = met.groupBy("root", "path").agg(F.min(F.struct(place.alias("place"), "via", "implied", "implied_from")).alias("e"))
         level = checkpointed(nearest.join(seen, ["root", "path"], "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             break
         levels.append(level)
-        frontier = level.select("root", "path")
-        seen = seen.unionByName(frontier)
+        frontier = level.select("root", "path", "e.place")
+        seen = seen.unionByName(frontier.select("root", "path"))
         if depth % 32 == 0:
             seen = checkpointed(seen)
     none = start.where("false").select("root", "path", F.lit(0).alias("depth"), F.lit("").alias("via"), F.lit(False).alias("implied"), F.lit("").alias("implied_from"))

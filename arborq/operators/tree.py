@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arborq.functions import values as V
 from arborq.functions.expr import Expr, Row
-from arborq.operators.common import ranked
+from arborq.operators.common import checkpointed, ranked
 from arborq.operators.traverse import ROW
 
 
@@ -49,11 +49,94 @@ def sort_siblings(rows: DataFrame, row: Row, keys: list[tuple[Expr, str]], out:
     return ranked(rows, ["root", "parent_key"], [*order, V.ordered(basename(F.col("path"))).asc(), F.col("key").asc()], out)
 
 
-def display(rows: DataFrame, row: Row, shown: list[tuple[str, Expr]]) -> DataFrame:
-    """Add `display`: an array of (key, value) texts, null where the value is null."""
+def chained(rows: DataFrame, links: DataFrame, before: list[Column], rank: str = "sibling_rank") -> DataFrame:
+    """Rank siblings anew so that chains of them stay together, each at its head's place: rows with `rank` from 1 in each set.
+
+    `links` (src, dst, ord) are the edges that make chains, of which those between siblings count whose `before` columns are equal. A note that
+    leads to several goes on with the least (ord, rank); where several lead to one, the first by rank does. Of a ring the first by
+    rank is the head. A path that a set holds twice is linked at its first row. Heads and places come by doubling: each round a row's
+    pointer skips as far again, so a chain of n rows takes about log2(n) joins, and no task holds a set.
+    """
+    group = ["root", "parent_key"]
+    same = [c.alias(f"_b{i}") for i, c in enumerate(before)]
+    at = checkpointed(rows.select("root", "parent_key", "key", "path", F.col(rank).alias("n"), *same))
+    mine = at.groupBy(*group, "path").agg(F.min_by(F.struct("n", *(f"_b{i}" for i in range(len(same)))), "n").alias("x")).select(*group, "path", "x.*")
+    a = mine.select(*group, F.col("path").alias("src"), F.col("n").alias("a"), *(F.col(f"_b{i}").alias(f"_x{i}") for i in range(len(same))))
+    b = mine.select(F.col("root").alias("_r"), F.col("parent_key").alias("_p"), F.col("path").alias("dst"), F.col("n").alias("b"), *(f"_b{i}" for i in range(len(same))))
+    on = (F.col("root") == F.col("_r")) & F.col("parent_key").eqNullSafe(F.col("_p")) & (F.col("dst") == F.col("_d"))
+    led = a.join(links.select("src", F.col("dst").alias("_d"), "ord"), "src").join(b, on).where("a <> b")
+    for i in range(len(same)):
+        led = led.where(F.col(f"_x{i}").eqNullSafe(F.col(f"_b{i}")))
+    onward = led.groupBy(*group, "a").agg(F.min(F.struct("ord", "b")).alias("to")).select(*group, "a", F.col("to.b").alias("b"))
+    above = checkpointed(onward.groupBy(*group, "b").agg(F.min("a").alias("up")))  # each row's one row before it
+    heads = _heads(above, group)
+    h = heads.select(F.col("root").alias("_r"), F.col("parent_key").alias("_p"), F.col("b").alias("_n"), "head", "steps")
+    on = (F.col("root") == F.col("_r")) & F.col("parent_key").eqNullSafe(F.col("_p")) & (F.col(rank) == F.col("_n"))
+    full = rows.join(h, on, "left").drop("_r", "_p", "_n")
+    full = full.withColumn("_head", F.coalesce("head", rank)).withColumn("_steps", F.coalesce("steps", F.lit(0))).drop("head", "steps")
+    return ranked(full, group, [F.col("_head").asc(), F.col("_steps").asc()], "_rank").withColumn(rank, F.col("_rank")).select(*rows.columns)
+
+
+def _heads(above: DataFrame, group: list[str]) -> DataFrame:
+    """(group, b, head, steps) of rows b with one row `up` before them: the start of the chain and the steps from it.
+
+    `low` is the least row that a pointer has skipped over: once pointers are longer than any chain, those still there go round a ring, and the ring
+    is cut before its least row.
+    """
+    most = above.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    for _ in range(2):
+        now = above.select(*group, "b", F.col("up").alias("to"), F.lit(1).cast("long").alias("steps"), F.least("b", "up").alias("low"))
+        reach, moved = 1, True
+        while moved and reach <= 2 * most + 2:
+            up = now.select(F.col("root").alias("_r"), F.col("parent_key").alias("_p"), F.col("b").alias("_b"), F.col("to").alias("_to"), F.col("steps").alias("_s"), F.col("low").alias("_low"))
+            on = (F.col("root") == F.col("_r")) & F.col("parent_key").eqNullSafe(F.col("_p")) & (F.col("to") == F.col("_b"))
+            now = checkpointed(
+                now.join(up, on, "left").select(
+                    *group, "b", F.coalesce("_to", "to").alias("to"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"), F.least("low", F.coalesce("_low", "low")).alias("low"),
+                    F.col("_to").isNotNull().alias("moved"),
+                )
+            )
+            reach *= 2
+            moved = not now.where("moved").isEmpty()
+            turning, now = now.where("moved and low = b"), now.drop("moved")
+        if not moved:
+            return now.select(*group, "b", F.col("to").alias("head"), "steps")
+        cut = turning.select(F.col("root").alias("_r"), F.col("parent_key").alias("_p"), F.col("b").alias("_b"))
+        on = (F.col("root") == F.col("_r")) & F.col("parent_key").eqNullSafe(F.col("_p")) & (F.col("b") == F.col("_b"))
+        above = checkpointed(above.join(cut, on, "left_anti"))
+    raise RuntimeError("chains did not come apart")
+
+
+def display(rows: DataFrame, row: Row, shown: list[tuple[str, Expr]], every: Column | None = None) -> DataFrame:
+    """Add `display`: an array of (key, value) texts, null where the value is null.
+
+    `every` is a VARIANT of properties with any keys: each of its keys is a badge, by name, before the others, which then leave out keys that it has.
+    """
     pairs = [F.struct(F.lit(k).alias("key"), F.when(e.value(row).col.isNotNull(), badge(e, row)).alias("value")) for k, e in shown]
-    empty = F.array().cast("array<struct<key:string,value:string>>")
-    return rows.withColumn("display", F.array(*pairs) if pairs else empty)
+    named = F.array(*pairs) if pairs else F.array().cast("array<struct<key:string,value:string>>")
+    if every is None:
+        return rows.withColumn("display", named)
+    found = F.coalesce(F.map_entries(F.try_variant_get(every, "$", "map<string,variant>")), F.array().cast("array<struct<key:string,value:variant>>"))
+    own = F.transform(
+        F.filter(found, lambda x: ~x["key"].startswith("file.") & ~x["key"].startswith("traversal.")), lambda x: F.struct(x["key"].alias("key"), open_badge(x["value"]).alias("value"))
+    )
+    wide = rows.withColumn("_own", F.array_sort(own))
+    keys = F.transform("_own", lambda x: x["key"])
+    return wide.withColumn("display", F.concat("_own", F.filter(named, lambda x: ~F.array_contains(keys, x["key"])))).drop("_own")
+
+
+def open_badge(value: Column) -> Column:
+    """The text of a VARIANT value: numbers in their shortest form, lists joined, objects as JSON; null for null."""
+    kind = F.schema_of_variant(value)
+    as_ = lambda t: F.try_variant_get(value, "$", t)
+    number = V.text_of_number(as_("double"))
+    return (
+        F.when(kind == "VOID", F.lit(None).cast("string"))
+        .when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), number)
+        .when(kind.startswith("ARRAY"), F.coalesce(F.array_join(as_("array<string>"), ", "), F.to_json(value)))
+        .when(kind.startswith("OBJECT"), F.to_json(value))
+        .otherwise(as_("string"))
+    )
 
 
 def badge(e: Expr, row: Row) -> Column:

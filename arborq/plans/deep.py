@@ -1,4 +1,4 @@
-"""Registered queries of paths with quantifiers, patterns with variables and rules over rules, and their SQL."""
+"""Registered queries of paths with quantifiers, patterns with variables, rules over rules, chains of siblings and open properties, and their SQL."""
 
 from __future__ import annotations
 
@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from arborq.operators.paths import Path, reach, step
 from arborq.operators.patterns import Hop, Pattern
 from arborq.operators.rules import Implies, Rule, with_rules
-from arborq.plans.catalog import GRAPH, NUMBERED
-from arborq.plans.query import Graph
+from arborq.functions.expr import file, prop
+from arborq.operators import edges as E
+from arborq.operators.traverse import Rel
+from arborq.plans.catalog import GRAPH, NUMBERED, SO, SR, walk_sql
+from arborq.plans.query import Chain, Graph, Query
 from arborq.sources import tables
 
 Call = Callable[[SparkSession, str], DataFrame]
@@ -172,3 +175,73 @@ UNION ALL SELECT src, gp, 'grandparent', true, 'family' FROM far UNION ALL SELEC
 UNION ALL SELECT DISTINCT src, p, 'ancestor', true, 'family' FROM far UNION ALL SELECT DISTINCT src, gp, 'ancestor', true, 'family' FROM far""",
     _explicit,
 )
+
+# ---- ancestors by the first edge ----
+
+
+def _ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two relations lead to each note; which comes first changes with the note."""
+    graph = tables.hierarchy(spark, sf_dir)
+    odd = F.col("ord") % 2
+    turns = F.array(*(F.struct(F.lit(r).alias("relation"), o.alias("ord")) for r, o in (("zed", F.col("ord") * 2 + odd), ("abe", F.col("ord") * 2 + 1 - odd))))
+    both = graph.edges.where("relation = 'down'").select("src", "dst", F.explode(turns).alias("t"), "label", "implied", "implied_from")
+    edges = both.select("src", "dst", "t.relation", "label", "implied", "implied_from", "t.ord")
+    return E.ancestors(edges, graph.notes.where("folder = 'orders'").select("path")).select("root", "path", "depth", "via")
+
+
+add("ancestors_first_edge", _ancestors, f"""{GRAPH}, {walk_sql('up', SO)}
+SELECT root, path, depth::INTEGER AS depth, CASE WHEN key[len(key)] % 2 = 0 THEN 'zed' ELSE 'abe' END AS via FROM walk""")
+
+# ---- display of every property ----
+
+
+def _open_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties as VARIANT: each note has only the keys that it has values for."""
+    graph = tables.hierarchy(spark, sf_dir)
+    keys = ("title", "acctbal", "segment", "status", "price", "priority")
+    notes = graph.notes.withColumn("properties", F.parse_json(F.to_json(F.struct(*keys)))).drop(*keys)
+    query = Query("All", Rel("down"), all_properties=True, display=[("title", prop("title")), ("file.folder", file("folder"))])
+    rows = query.run(Graph(notes, graph.edges), notes.where("folder = 'region'").select("path"))
+    return rows.select("root", "path", F.array_join(F.transform("display", lambda x: F.concat(x["key"], F.lit("="), F.coalesce(x["value"], F.lit("")))), "|").alias("display"))
+
+
+_NUMBER = "CASE WHEN c.{0} = floor(c.{0}) THEN c.{0}::BIGINT::VARCHAR ELSE c.{0}::VARCHAR END"
+add("display_all_open", _open_display, f"""{GRAPH}, {walk_sql('down', SR)} SELECT root, w.path,
+concat_ws('|', 'acctbal=' || {_NUMBER.format('acctbal')}, 'price=' || {_NUMBER.format('price')}, 'priority=' || c.priority, 'segment=' || c.segment, 'status=' || c.status,
+  'title=' || coalesce(c.title, ''), 'file.folder=' || c.folder) AS display FROM walk w JOIN notes c ON c.path = w.path""")
+
+# ---- chains of siblings ----
+
+
+def _of_users(spark: SparkSession, sf_dir: str) -> Graph:
+    """Users with their events below them; `next` leads to a user's following event, unless it is a signup."""
+    graph = tables.sequences(spark, sf_dir)
+    e = tables.read(spark, sf_dir, "events")
+    user = tables.path("user", F.col("user_id"))
+    event = tables.path("events", F.col("event_id"))
+    none = F.lit(None).cast("string")
+    has = e.select(user.alias("src"), event.alias("dst"), F.lit("has").alias("relation"), none.alias("label"), F.lit(False).alias("implied"), none.alias("implied_from"), F.col("event_id").alias("ord"))
+    begins = e.where("event_type = 'signup'").select(event.alias("dst"))
+    onward = graph.edges.where("relation = 'next'").join(begins, "dst", "left_anti").select(*has.columns)
+    users = e.select(user.alias("path")).distinct()
+    notes = graph.notes.unionByName(users.withColumn("folder", F.lit("user")), allowMissingColumns=True)
+    return Graph(notes, has.unionByName(onward))
+
+
+def chained(name: str, sort: list, sql: str) -> None:
+    def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+        graph = _of_users(spark, sf_dir)
+        return Query("Chains", Rel("has"), sort=sort).run(graph, graph.notes.where("folder = 'user'").select("path")).select("root", "path", "sibling_rank")
+
+    add(name, call, f"{NUMBERED} {sql}")
+
+
+_RANKED = """, plain AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {order}, event_id::VARCHAR) AS n FROM numbered),
+parted AS (SELECT *, sum(CASE WHEN {starts} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i) AS chain FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY i) AS was FROM plain)),
+headed AS (SELECT *, first_value(n) OVER (PARTITION BY user_id, chain ORDER BY i) AS head FROM parted)
+SELECT 'user/' || user_id || '.md' AS root, path, row_number() OVER (PARTITION BY user_id ORDER BY head, i) AS sibling_rank FROM headed"""
+chained("sort_chain_first", [Chain(("next",)), (prop("value"), "desc")], _RANKED.format(order="value DESC NULLS FIRST", starts="was IS NULL OR event_type = 'signup'"))
+chained(
+    "sort_chain_within_equal", [prop("type"), Chain(("next",)), (prop("value"), "desc")],
+    _RANKED.format(order="event_type, value DESC NULLS FIRST", starts="was IS DISTINCT FROM event_type OR event_type = 'signup'"),
+)

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arborq.functions import values as V
 from arborq.functions.expr import Expr, Row, lit, prop
@@ -53,6 +54,16 @@ class Graph:
         return rows, replace(row, aggregates=done)
 
 
+@dataclass(frozen=True)
+class Chain:
+    """A sort key that keeps siblings tied by these relations together, in their sequence, each chain at the place of its head.
+
+    Before the other keys it goes over all siblings, after some of them only over those that these leave equal.
+    """
+
+    relations: tuple[str, ...] = ("next",)
+
+
 @dataclass(frozen=True, eq=False)
 class Query:
     """name, the relations to walk side by side, and the clauses. `all_properties` shows every property before `display`."""
@@ -106,17 +117,25 @@ class Query:
             rows = rows.withColumn("has_filtered_ancestor", F.lit(False))
         if self.sort:
             columns = rows.columns
-            wide, row = graph.resolve(rows, *(e for e, _ in self.sort))
-            rows = tree.sort_siblings(wide, row, list(self.sort)).select(*columns, "sibling_rank")
+            keys = [k for k in self.sort if not isinstance(k, Chain)]
+            wide, row = graph.resolve(rows, *(e for e, _ in keys))
+            rows = tree.sort_siblings(wide, row, keys)
+            for chain in (k for k in self.sort if isinstance(k, Chain)):
+                before = [k for k in self.sort[: self.sort.index(chain)] if not isinstance(k, Chain)]
+                links = graph.edges.where(F.col("relation").isin(list(chain.relations)))
+                rows = tree.chained(rows, links, [V.sort_key(e.value(row)) for e, _ in before])
+            rows = rows.select(*columns, "sibling_rank")
         shown = list(self.display)
+        open_ = self.all_properties and "properties" in graph.notes.columns and isinstance(graph.notes.schema["properties"].dataType, T.VariantType)
         if self.all_properties:
             taken = {"path", "name", "folder", "created", "modified", "size", "tags", "links", "backlinks", "content"}
             own = [(c, prop(c)) for c in graph.notes.columns if c not in taken]
+            own = [(c, e) for c, e in own if c != "properties" or not open_]
             shown = own + [(k, e) for k, e in shown if k not in {c for c, _ in own}]
-        if shown:
+        if shown or open_:
             columns = rows.columns
-            wide, row = graph.resolve(rows, *(e for _, e in shown))
-            rows = tree.display(wide, row, shown).select(*columns, "display")
+            wide, row = graph.resolve(rows, *(e for _, e in shown), *([prop("properties")] if open_ else []))
+            rows = tree.display(wide, row, shown, row.raw("properties") if open_ else None).select(*columns, "display")
         return rows
 
 
@@ -262,4 +281,4 @@ def run_all(graph: Graph, queries: list[Query], roots: DataFrame) -> dict[str, D
     return {q.name: q.run(graph, roots) for q in queries}
 
 
-__all__ = ["Graph", "Query", "all_of", "any_of", "average", "count", "greatest", "least", "lit", "paths", "run_all", "total", "walk"]
+__all__ = ["Chain", "Graph", "Query", "all_of", "any_of", "average", "count", "greatest", "least", "lit", "paths", "run_all", "total", "walk"]
