@@ -14,11 +14,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborq.operators.adjacency import IN, OUT, Adjacency, index
-from arborq.operators.common import checkpointed, listed
+from arborq.operators.common import checkpointed
 
 STRIDE, FOLDED, MAX_STATES = 3, 8, 4096
 
@@ -159,6 +159,15 @@ class Automaton:
         return deep(0, frozenset())
 
 
+def _by_state(machine: Automaton) -> Column:
+    """The moves (way, relation, asked, next) of each state, as a literal map; states without one are not in it."""
+    by: dict[int, list[Column]] = {}
+    for state, way, relation, label, nxt in machine.moves:
+        move = F.struct(F.lit(way).alias("way"), F.lit(relation).alias("relation"), F.lit(label).cast("string").alias("asked"), F.lit(nxt).alias("next"))
+        by.setdefault(state, []).append(move)
+    return F.create_map(*(x for state, some in by.items() for x in (F.lit(state), F.array(*some))))
+
+
 def reach(edges: DataFrame | Adjacency, roots: DataFrame, path: Path, stride: int = STRIDE) -> DataFrame:
     """(root, path, hops): the notes that a walk along the path can reach from each root (column path), with the least number of hops.
 
@@ -168,25 +177,28 @@ def reach(edges: DataFrame | Adjacency, roots: DataFrame, path: Path, stride: in
     """
     machine = Automaton.of(path)
     graph = edges if isinstance(edges, Adjacency) else index(edges, path.relations(), tuple(sorted(path.ways())))
-    moves = listed(roots.sparkSession, machine.moves, "state int, way int, relation string, asked string, next int")
     start = roots.select(F.col("path").alias("root"), F.lit(0).alias("state"), F.col("path"), F.lit(0).alias("hops")).where("path is not null").distinct()
+    if not machine.moves:
+        return start.where(F.lit(0 in machine.ends)).select("root", "path", "hops")
+    moves = _by_state(machine)
     seen = [checkpointed(start)]
     frontier, done, most = seen[0], 0, machine.longest()
     while most is None or done < most:
         levels, at = [], frontier
+        # laps, not hops, are written into the plan: it is the same in every round, and so is the code made for it
         steps = stride if most is None else min(stride, most - done)
-        for _ in range(steps):
-            asked = at.withColumnRenamed("path", "at").join(F.broadcast(moves), "state").drop("state")
+        for lap in range(1, steps + 1):
+            asked = at.select("root", "hops", F.col("path").alias("at"), F.inline(F.element_at(moves, F.col("state"))))
             met = graph.neighbours(asked).where("asked is null or asked = label")
-            done += 1
-            at = met.select("root", F.col("next").alias("state"), F.col("to").alias("path"), F.lit(done).alias("hops")).distinct()
-            levels.append(at)
-        first = reduce(DataFrame.unionByName, levels).groupBy("root", "state", "path").agg(F.min("hops").alias("hops"))
+            at = met.select("root", F.col("next").alias("state"), F.col("to").alias("path"), (F.col("hops") + 1).alias("hops")).distinct()
+            levels.append(at.withColumn("lap", F.lit(lap)))
+        done += steps
+        first = reduce(DataFrame.unionByName, levels).groupBy("root", "state", "path").agg(F.min(F.struct("hops", "lap")).alias("m")).select("root", "state", "path", "m.*")
         new = checkpointed(first.join(reduce(DataFrame.unionByName, seen), ["root", "state", "path"], "left_anti"))
-        frontier = new.where(F.col("hops") == done)
+        frontier = new.where(F.col("lap") == steps)
         if new.isEmpty():
             break
-        seen.append(new)
+        seen.append(new.drop("lap"))
         if len(seen) > FOLDED:
             seen = [checkpointed(reduce(DataFrame.unionByName, seen))]
     reached = reduce(DataFrame.unionByName, seen).where(F.col("state").isin(sorted(machine.ends)) if machine.ends else F.lit(False))

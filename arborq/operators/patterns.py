@@ -46,6 +46,19 @@ class Links:
         return self.pairs if known == self.ends[0] else self.pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))
 
 
+@dataclass(frozen=True)
+class Shape:
+    """How many pairs a hop has, and about how many notes at its two ends."""
+
+    rows: int
+    starts: int
+    ends: int
+
+
+def _shape(pairs: DataFrame) -> Shape:
+    return Shape(*pairs.agg(F.count(F.lit(1)), F.approx_count_distinct("a"), F.approx_count_distinct("b")).first())
+
+
 @dataclass(frozen=True)
 class Pattern:
     """hops to be found together, pairs of variables that have to differ, and conditions: (names of variables, condition over columns of these names)."""
@@ -132,9 +145,9 @@ class Pattern:
         return links
 
     def _joined(self, links: list[Links], within: dict[str, DataFrame], select: list[str] | None) -> DataFrame:
-        sizes = [link.pairs.count() for link in links]
+        shapes = [_shape(link.pairs) for link in links]
         wanted = select if select is not None else self.variables
-        first = min(range(len(links)), key=lambda i: (not set(links[i].ends) & set(within), sizes[i], i))
+        first = min(range(len(links)), key=lambda i: (self._cost(shapes, i), not set(links[i].ends) & set(within), i))
         a, b = links[first].ends
         rows = links[first].pairs.select(F.col("a").alias(a), *([F.col("b").alias(b)] if b != a else []))
         bound, open_ = {a, b}, [i for i in range(len(links)) if i != first]
@@ -147,17 +160,11 @@ class Pattern:
                 open_.remove(i)
             if not open_:
                 break
-            ties: dict[str, list[tuple[str, int]]] = {}
-            for i in open_:
-                x, y = links[i].ends
-                if (x in bound) != (y in bound):
-                    ties.setdefault(y if x in bound else x, []).append((x if x in bound else y, i))
-            # the variable with most ties first, then the one whose hop has the fewest pairs
-            new = min(ties, key=lambda v: (-len(ties[v]), min(sizes[i] for _, i in ties[v]), v))
+            new, ties = self._next(shapes, bound, open_)
             before = set(bound)
-            rows = self._extended(rows, new, [(known, links[i].facing(known)) for known, i in ties[new]])
+            rows = self._extended(rows, new, [(known, links[i].facing(known)) for known, i in ties])
             bound.add(new)
-            open_ = [i for i in open_ if i not in {i for _, i in ties[new]}]
+            open_ = [i for i in open_ if i not in {i for _, i in ties}]
             rows = self._differ(rows, before, bound)
             # variables that nothing asks for any more end here, so that rows which differ in them alone become one
             needed = {*wanted, *(v for pair in self.distinct if not set(pair) <= bound for v in pair), *(v for i in open_ for v in links[i].ends)}
@@ -165,6 +172,37 @@ class Pattern:
                 rows = rows.select(*(v for v in rows.columns if v in needed)).distinct()
         return rows.select(*wanted).distinct()
 
+    def _next(self, shapes: list[Shape], bound: set[str], open_: list[int]) -> tuple[str, list[tuple[str, int]]]:
+        """The variable to bind next, and the hops that tie it to bound ones: the one with the fewest candidates for each partial match, as far as averages tell."""
+        ties: dict[str, list[tuple[str, int]]] = {}
+        for i in open_:
+            x, y = self.hops[i].start, self.hops[i].end
+            if (x in bound) != (y in bound):
+                ties.setdefault(y if x in bound else x, []).append((x if x in bound else y, i))
+        new = min(ties, key=lambda v: (self._fan(shapes, ties[v])[0], -len(ties[v]), v))
+        return new, ties[new]
+
+    def _fan(self, shapes: list[Shape], ties: list[tuple[str, int]]) -> tuple[float, float]:
+        """Candidates for each partial match, and how many of them all ties confirm, on average."""
+        fans = [shapes[i].rows / max(1, shapes[i].starts if self.hops[i].start == known else shapes[i].ends) for known, i in ties]
+        least = min(range(len(fans)), key=fans.__getitem__)
+        left = fans[least]
+        for n, (_, i) in enumerate(ties):
+            if n != least:
+                left *= min(1.0, shapes[i].rows / max(1, shapes[i].starts * shapes[i].ends))
+        return fans[least], left
+
+    def _cost(self, shapes: list[Shape], first: int) -> float:
+        """The rows of all steps if the pattern is begun with a hop, by the same averages."""
+        rows = total = float(shapes[first].rows)
+        bound, open_ = {self.hops[first].start, self.hops[first].end}, [i for i in range(len(self.hops)) if i != first]
+        while open_ := [i for i in open_ if not {self.hops[i].start, self.hops[i].end} <= bound]:
+            new, ties = self._next(shapes, bound, open_)
+            fan, left = self._fan(shapes, ties)
+            total, rows = total + rows * fan, rows * left
+            bound.add(new)
+        return total
+
     def _differ(self, rows: DataFrame, before: set[str], bound: set[str]) -> DataFrame:
         for x, y in self.distinct:
             if {x, y} <= bound and not {x, y} <= before:
