@@ -60,10 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages' corpus, each row with its pool and slot. Slots are unique, so encoded texts are joined by them."""
+    """The stages' corpus, each row with its pool and slot. Slots are unique, so encoded texts are joined by them.
+
+    What each stage leaves is written to the checkpoint folder: the next one's passes read it, and no document is judged again.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-2]:
-        docs = stage(spark, docs, sf_dir)
+        docs = checkpointed(stage(spark, docs, sf_dir))
     schedule = checkpointed(scheduled(docs))
     coded = bpe.digests(schedule.select(F.col("slot").alias("doc_id"), "text"), bpe.vocabulary()).withColumnRenamed("doc_id", "slot")
     return schedule.select("doc_id", "pool", "slot").join(coded, "slot").select("doc_id", "pool", "slot", "n_tokens", "ids_sha256", "decoded_sha256")
