@@ -110,9 +110,17 @@ def fit_quantiser(sample: np.ndarray, rows: int = 0, threshold: float = THRESHOL
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; each is divided by its largest component first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _cosines(x: np.ndarray, r: np.ndarray, c: np.ndarray, step: int = 16384) -> np.ndarray:
+    """The cosines of pairs of rows of length 1, each by the same sum whatever else is asked for."""
+    parts = [np.einsum("ij,ij->i", x[r[i : i + step]], x[c[i : i + step]]) for i in range(0, len(r), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def link_block(ids: np.ndarray, x: np.ndarray, weight: np.ndarray, away: np.ndarray, side: np.ndarray | None, bucket: np.ndarray, bits: np.ndarray,
                model: Quantiser, t: int, threshold: float, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Links among rows filed in table t, sorted by bucket: each row's summed weight of partners, and a root of its links here.
@@ -145,11 +153,10 @@ def link_block(ids: np.ndarray, x: np.ndarray, weight: np.ndarray, away: np.ndar
             near &= (bits.shape[1] - signs[a] @ signs[b].T) <= 2 * model.radius + 0.5
             for u in range(t):
                 near &= np.bitwise_count(sub[a, u][:, None] ^ sub[b, u][None, :]) > model.probe
+            if near.sum() > near.size // 20:  # a product of matrices parts most; what is near the threshold is left to the sums below
+                near &= x[a] @ x[b].T >= threshold - 1e-9
             r, c = np.nonzero(near)
-            if len(r) > near.size // 20:
-                good = (x[a] @ x[b].T)[r, c] >= threshold
-            else:
-                good = np.einsum("ij,ij->i", x[i + r], x[j + c]) >= threshold
+            good = _cosines(x, i + r, j + c) >= threshold
             r, c = r[good] + i, c[good] + j
             if not len(r):
                 continue

@@ -5,10 +5,11 @@ import os
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from arborq.llm import fim, orchard, pii
+from arborq.llm import fim, orchard, pii, vectors
 
 TABLES = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(TABLES), reason="the tables are not here")
@@ -158,3 +159,31 @@ def test_sparse_index():
     assert (index.bytes_at(chars) == places).all() and (index.chars_at(places) == chars).all() and len(index.chars) == 150
     none = fim.SparseIndex.of(np.frombuffer(b"only ascii", np.uint8))
     assert len(none.chars) == 0 and none.bytes_at(np.array([3]))[0] == 3
+
+
+def test_tiny_and_huge_vectors_link(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [1e-200, 1e-202]), (3, [1e200, 1.0]), (4, [0.0, 1e200]), (5, [5e-324, 0.0]), (6, [0.0, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1), 6: (0, 6)}
+
+
+@here
+def test_pipeline_judges_each_document_once(spark, monkeypatch):
+    import corpus_pipeline
+
+    met = {"toxicity": spark.sparkContext.accumulator(0), "quality": spark.sparkContext.accumulator(0)}
+    for name, module in (("toxicity", corpus_pipeline.toxicity), ("quality", corpus_pipeline.quality)):
+
+        def counted(docs, model, out, plain=module.score, seen=met[name]):
+            @F.pandas_udf("double")
+            def count(s: pd.Series) -> pd.Series:
+                seen.add(len(s))
+                return s
+
+            return plain(docs, model, out=out).withColumn(out, count.asNondeterministic()(F.col(out)))
+
+        monkeypatch.setattr(module, "score", counted)
+    rows = corpus_pipeline.run(spark, TABLES).collect()
+    n = spark.read.parquet(f"{TABLES}/documents.parquet").count()
+    assert met["toxicity"].value == n and len(rows) < met["quality"].value <= n
+    assert len({r["slot"] for r in rows}) == len(rows)
