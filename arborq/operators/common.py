@@ -20,6 +20,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def anew(df: DataFrame) -> DataFrame:
+    """As checkpointed, for tables that unions and joins with their own descendants go on from.
+
+    A checkpointed table can hold on to what was known of columns that it no longer has, which a union of it fails on; so
+    the columns have other names in it, and get their own back above it.
+    """
+    names = df.columns
+    inside = checkpointed(df.toDF(*(f"kept_{c}" for c in names)))
+    return inside.select(*(F.col(f"`kept_{c}`").alias(c) for c in names))
+
+
 def ranked(df: DataFrame, group: list[str], order: list[Column], out: str) -> DataFrame:
     """Number the rows of each group from 1 in an order, with groups of any size.
 

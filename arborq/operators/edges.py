@@ -10,7 +10,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborq.operators.common import checkpointed
+from arborq.operators.common import anew, checkpointed
 
 EDGE_COLUMNS = ["src", "dst", "relation", "label", "implied", "implied_from", "ord"]
 
@@ -81,7 +81,7 @@ def ancestors(edges: DataFrame, roots: DataFrame, relations: list[str] | None =
         place = F.concat("place", F.array(F.struct("ord", "path")))
         met = frontier.select("root", F.col("path").alias("_at"), "place").join(kept, "_at")
         nearest = met.groupBy("root", "path").agg(F.min(F.struct(place.alias("place"), "via", "implied", "implied_from")).alias("e"))
-        level = checkpointed(nearest.join(seen, ["root", "path"], "left_anti").withColumn("depth", F.lit(depth)))
+        level = anew(nearest.join(seen, ["root", "path"], "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             break
         levels.append(level)

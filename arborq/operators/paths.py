@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborq.operators.adjacency import IN, OUT, Adjacency, index
-from arborq.operators.common import checkpointed
+from arborq.operators.common import anew
 
 STRIDE, FOLDED, MAX_STATES = 3, 8, 4096
 
@@ -181,7 +181,7 @@ def reach(edges: DataFrame | Adjacency, roots: DataFrame, path: Path, stride: in
     if not machine.moves:
         return start.where(F.lit(0 in machine.ends)).select("root", "path", "hops")
     moves = _by_state(machine)
-    seen = [checkpointed(start)]
+    seen = [anew(start)]
     frontier, done, most = seen[0], 0, machine.longest()
     while most is None or done < most:
         levels, at = [], frontier
@@ -194,12 +194,12 @@ def reach(edges: DataFrame | Adjacency, roots: DataFrame, path: Path, stride: in
             levels.append(at.withColumn("lap", F.lit(lap)))
         done += steps
         first = reduce(DataFrame.unionByName, levels).groupBy("root", "state", "path").agg(F.min(F.struct("hops", "lap")).alias("m")).select("root", "state", "path", "m.*")
-        new = checkpointed(first.join(reduce(DataFrame.unionByName, seen), ["root", "state", "path"], "left_anti"))
+        new = anew(first.join(reduce(DataFrame.unionByName, seen), ["root", "state", "path"], "left_anti"))
         frontier = new.where(F.col("lap") == steps)
         if new.isEmpty():
             break
         seen.append(new.drop("lap"))
         if len(seen) > FOLDED:
-            seen = [checkpointed(reduce(DataFrame.unionByName, seen))]
+            seen = [anew(reduce(DataFrame.unionByName, seen))]
     reached = reduce(DataFrame.unionByName, seen).where(F.col("state").isin(sorted(machine.ends)) if machine.ends else F.lit(False))
     return reached.groupBy("root", "path").agg(F.min("hops").alias("hops"))

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborq.operators.common import checkpointed
+from arborq.operators.common import anew
 from arborq.operators.paths import Path, reach
 
 HEAVY = 1 << 16
@@ -138,7 +138,7 @@ class Pattern:
                 for side, v in zip(("a", "b"), links[i].ends, strict=True):
                     if v in allowed:
                         kept = kept.join(allowed[v].select(F.col("v").alias(side)), side, "left_semi")
-                kept = checkpointed(kept.select("a", "b"))
+                kept = anew(kept.select("a", "b"))
                 links[i] = Links(kept, links[i].ends)
                 for side, v in zip(("a", "b"), links[i].ends, strict=True):
                     allowed[v] = kept.select(F.col(side).alias("v")).distinct()
@@ -219,7 +219,7 @@ class Pattern:
             rows = rows.join(degrees[n], F.col(known) == F.col(f"_at{n}")).drop(f"_at{n}")
         counts = [F.col(f"_n{n}") for n in range(len(ties))]
         least = F.array_position(F.array(*counts), F.least(*counts)) - 1
-        rows = checkpointed(rows.withColumn("_by", least))
+        rows = anew(rows.withColumn("_by", least))
         out = []
         for n, (known, pairs) in enumerate(ties):
             mine = self._proposed(rows.where(F.col("_by") == n), new, known, pairs, degrees[n], f"_n{n}")

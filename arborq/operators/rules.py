@@ -17,7 +17,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborq.operators.common import checkpointed
+from arborq.operators.common import anew
 from arborq.operators.edges import EDGE_COLUMNS
 from arborq.operators.paths import Path
 from arborq.operators.patterns import Hop, Pattern
@@ -133,7 +133,7 @@ def with_rules(edges: DataFrame, rules: list[Rule]) -> DataFrame:
     explicit = edges.select(*EDGE_COLUMNS)
     if not rules:
         return explicit
-    known = checkpointed(explicit.select("src", "dst", "relation", "label").where("src is not null and dst is not null").distinct())
+    known = anew(explicit.select("src", "dst", "relation", "label").where("src is not null and dst is not null").distinct())
     made: list[DataFrame] = []
     for group in strata(resolved(rules)):
         writes = {i.relation for r in group for i in r.implies}
@@ -143,12 +143,12 @@ def with_rules(edges: DataFrame, rules: list[Rule]) -> DataFrame:
             found = reduce(DataFrame.unionByName, [m for r in group for m in _matched(r, known, fresh, writes)])
             one = found.groupBy("src", "dst", "relation").agg(F.min("rule").alias("rule"))
             old = known.select("src", "dst", "relation").distinct()
-            new = checkpointed(one.join(old, ["src", "dst", "relation"], "left_anti"))
+            new = anew(one.join(old, ["src", "dst", "relation"], "left_anti"))
             if new.isEmpty():
                 break
             made.append(new)
             fresh = new.select("src", "dst", "relation", F.lit(None).cast("string").alias("label"))
-            known = checkpointed(known.unionByName(fresh))
+            known = anew(known.unionByName(fresh))
             if not writes & reads:
                 break
     if not made:

@@ -12,6 +12,7 @@ from arborq.operators.patterns import Hop, Pattern
 from arborq.operators.rules import Implies, Rule, with_rules
 from arborq.functions.expr import file, prop
 from arborq.operators import edges as E
+from arborq.operators import groups as G
 from arborq.operators.traverse import Rel
 from arborq.plans.catalog import GRAPH, NUMBERED, SO, SR, walk_sql
 from arborq.plans.query import Chain, Graph, Query
@@ -245,3 +246,66 @@ chained(
     "sort_chain_within_equal", [prop("type"), Chain(("next",)), (prop("value"), "desc")],
     _RANKED.format(order="event_type, value DESC NULLS FIRST", starts="was IS DISTINCT FROM event_type OR event_type = 'signup'"),
 )
+
+# ---- groups of notes ----
+
+
+def _as_roots(notes: DataFrame) -> DataFrame:
+    return notes.select(F.col("path").alias("root"), "path")
+
+
+def _folder_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = tables.notes(spark, sf_dir)
+    return G.folder_siblings(notes).step(_as_roots(notes.where("folder in ('region', 'nation', 'supplier')")))
+
+
+add("group_folder_siblings", _folder_siblings, f"{GRAPH} SELECT a.path AS root, b.path FROM notes a JOIN notes b ON b.folder = a.folder AND b.path <> a.path WHERE a.folder IN ('region', 'nation', 'supplier')")
+
+
+def _folder_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations in a folder for each region, suppliers in one for each nation below it."""
+    n = tables.read(spark, sf_dir, "nation")
+    s = tables.read(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    region = F.concat_ws("/", F.lit("world"), "n_regionkey")
+    nations = n.select(tables.path("nation", F.col("n_nationkey")).alias("path"), region.alias("folder"))
+    suppliers = s.select(tables.path("supplier", F.col("s_suppkey")).alias("path"), F.concat_ws("/", region, "n_nationkey").alias("folder"))
+    top = spark.range(1).select(F.lit("index.md").alias("path"), F.lit("world").alias("folder"))
+    notes = nations.unionByName(suppliers).unionByName(top)
+    return G.folder_children(notes).step(_as_roots(notes))
+
+
+add("group_folder_children", _folder_children, """SELECT 'nation/' || n.n_nationkey || '.md' AS root, 'supplier/' || s.s_suppkey || '.md' AS path
+FROM nation n JOIN nation m ON m.n_regionkey = n.n_regionkey JOIN supplier s ON s.s_nationkey = m.n_nationkey
+UNION ALL SELECT 'index.md', 'nation/' || n_nationkey || '.md' FROM nation UNION ALL SELECT 'index.md', 'supplier/' || s_suppkey || '.md' FROM supplier""")
+
+
+def _same_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = tables.notes(spark, sf_dir)
+    return G.same_tag(notes, "#building").step(_as_roots(notes.where("acctbal > 8500")))
+
+
+add("group_same_tag", _same_tag, f"{GRAPH} SELECT a.path AS root, b.path FROM notes a JOIN notes b ON list_contains(a.tags, '#building') AND list_contains(b.tags, '#building') AND b.path <> a.path WHERE a.acctbal > 8500")
+
+
+def _same_property(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the other customers of a segment and the other orders of a priority hold, without a row for any pair."""
+    notes = tables.notes(spark, sf_dir)
+    out = [G.same_property(some, key).others(some, value) for some, key, value in ((notes.where("folder = 'customer'"), "segment", "acctbal"), (notes.where("folder = 'orders'"), "priority", "price"))]
+    return out[0].unionByName(out[1]).withColumn("sum", F.round("sum", 2))
+
+
+_LEFT_OUT = """SELECT a.path, t.n - 1 AS count, round(t.s - coalesce(a.{v}, 0), 2) AS sum, CASE WHEN a.{v} = t.lo AND t.lo_n = 1 THEN t.lo2 ELSE t.lo END AS least, CASE WHEN a.{v} = t.hi AND t.hi_n = 1 THEN t.hi2 ELSE t.hi END AS greatest
+FROM notes a JOIN (SELECT {g}, count(*) AS n, sum({v}) AS s, min({v}) AS lo, max({v}) AS hi, count(*) FILTER ({v} = m) AS lo_n, count(*) FILTER ({v} = x) AS hi_n, min({v}) FILTER ({v} > m) AS lo2, max({v}) FILTER ({v} < x) AS hi2
+  FROM (SELECT *, min({v}) OVER (PARTITION BY {g}) AS m, max({v}) OVER (PARTITION BY {g}) AS x FROM notes WHERE folder = '{f}') GROUP BY {g}) t ON t.{g} = a.{g} WHERE a.folder = '{f}'"""
+add("group_same_property_others", _same_property, f"{GRAPH} {_LEFT_OUT.format(g='segment', v='acctbal', f='customer')} UNION ALL {_LEFT_OUT.format(g='priority', v='price', f='orders')}")
+
+
+def _same_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Siblings of siblings: all orders of a customer, each once for a root, the root itself where it has a sibling."""
+    graph = tables.hierarchy(spark, sf_dir, ("customer", "orders"))
+    up = graph.edges.where("not implied and src like 'orders/%'")
+    return G.same_target(up, "up").reach(graph.notes.where("folder = 'orders' and price > 300000").select("path"))
+
+
+add("group_same_target_reach", _same_target, f"""{GRAPH}, u AS (SELECT src, dst FROM edges WHERE relation = 'up' AND src LIKE 'orders/%'), sizes AS (SELECT dst, count(*) AS n FROM u GROUP BY 1)
+SELECT a.src AS root, b.src AS path, CASE WHEN a.src = b.src THEN 2 ELSE 1 END AS hops FROM u a JOIN notes r ON r.path = a.src AND r.price > 300000 JOIN u b ON b.dst = a.dst JOIN sizes s ON s.dst = a.dst AND s.n > 1""")
