@@ -27,13 +27,18 @@ class Adjacency:
 
     rows: DataFrame
     heavy: DataFrame | None
+    partitions: int
 
     def neighbours(self, asked: DataFrame) -> DataFrame:
-        """Rows asked (columns way, relation and at among others) joined with each neighbour: adds to and label."""
-        if self.heavy is None:
-            return asked.withColumn("place", place(F.lit(0))).join(self.rows, "place").drop("place")
-        split = asked.join(self.heavy, ["way", "relation", "at"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))))
-        return split.withColumn("place", place(F.col("part"))).drop("parts", "part").join(self.rows, "place").drop("place")
+        """Rows asked (columns way, relation and at among others), equal ones once, joined with each neighbour: adds to and label.
+
+        They are dealt by place, which serves the join and the telling of equal rows alike, so a step of a walk is one shuffle of its frontier.
+        """
+        split = asked.withColumn("place", place(F.lit(0)))
+        if self.heavy is not None:
+            parts = F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))
+            split = asked.join(self.heavy, ["way", "relation", "at"], "left").withColumn("part", F.explode(parts)).withColumn("place", place(F.col("part"))).drop("parts", "part")
+        return split.repartition(self.partitions, "place").distinct().join(self.rows, "place").drop("place")
 
 
 def index(edges: DataFrame, relations: set[str] | None = None, ways: tuple[int, ...] = (OUT, IN), heavy: int = HEAVY) -> Adjacency:
@@ -50,13 +55,14 @@ def index(edges: DataFrame, relations: set[str] | None = None, ways: tuple[int,
     if split := not many.isEmpty():
         cut = each.join(many, ["way", "relation", "at"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("to"), F.col("parts")).cast("int"), F.lit(0)))
     rows = checkpointed(cut.select(place(F.col("part")).alias("place"), "to", "label"))
-    return Adjacency(_kept_in_place(rows), many if split else None)
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return Adjacency(_kept_in_place(rows, n), many if split else None, n)
 
 
-def _kept_in_place(rows: DataFrame) -> DataFrame:
-    """rows dealt and sorted by place, sorted, as a table whose partitioning later joins know. An adaptive plan doesn't tell it, so this one isn't."""
+def _kept_in_place(rows: DataFrame, n: int) -> DataFrame:
+    """rows dealt and sorted by place, as a table whose partitioning later joins know. An adaptive plan doesn't tell it, so this one isn't."""
     conf = rows.sparkSession.conf
-    n, adaptive = int(conf.get("spark.sql.shuffle.partitions")), conf.get("spark.sql.adaptive.enabled")
+    adaptive = conf.get("spark.sql.adaptive.enabled")
     conf.set("spark.sql.adaptive.enabled", "false")
     try:
         return checkpointed(rows.repartition(n, "place").sortWithinPartitions("place"))

@@ -190,7 +190,7 @@ def reach(edges: DataFrame | Adjacency, roots: DataFrame, path: Path, stride: in
         for lap in range(1, steps + 1):
             asked = at.select("root", "hops", F.col("path").alias("at"), F.inline(F.element_at(moves, F.col("state"))))
             met = graph.neighbours(asked).where("asked is null or asked = label")
-            at = met.select("root", F.col("next").alias("state"), F.col("to").alias("path"), (F.col("hops") + 1).alias("hops")).distinct()
+            at = met.select("root", F.col("next").alias("state"), F.col("to").alias("path"), (F.col("hops") + 1).alias("hops"))
             levels.append(at.withColumn("lap", F.lit(lap)))
         done += steps
         first = reduce(DataFrame.unionByName, levels).groupBy("root", "state", "path").agg(F.min(F.struct("hops", "lap")).alias("m")).select("root", "state", "path", "m.*")

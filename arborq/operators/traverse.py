@@ -80,8 +80,8 @@ def depth_first(start: DataFrame, edges: DataFrame, rel: Rel, prune: Pruner | No
     """Every path from the starts that meets no note twice. `start` has root, key, path, anc (notes not to be met again)
     and shift (added to the ord of first steps, so that several items may start at one place).
 
-    Levels are joins; up to UNROLLED levels are one plan, beyond that each level is checkpointed and an empty one ends the
-    walk, which without a depth goes on as long as it finds rows. The number of paths is the size of the result.
+    Levels are joins; up to UNROLLED levels are one plan. A deeper walk is checkpointed after as many levels each time, and ends where these are
+    empty; without a depth it goes on as long as it finds rows. The number of paths is the size of the result.
     """
     e = relevant(edges, rel)
     if prune is not None and prune.fixed:
@@ -89,30 +89,45 @@ def depth_first(start: DataFrame, edges: DataFrame, rel: Rel, prune: Pruner | No
     e = e.select("src", F.col("dst"), "relation", "label", "implied", "implied_from", "ord")
     if rel.depth is None or rel.depth > UNROLLED:
         e = checkpointed(e)
+    deep = rel.depth is None or rel.depth > UNROLLED
     frontier = start.select("root", "key", "path", "anc", F.array("path").alias("traversal_path"), F.lit(0).alias("depth"), "shift")
     levels: list[DataFrame] = []
-    for _ in count() if rel.depth is None else range(rel.depth):
-        step = frontier.join(e, F.col("path") == F.col("src")).where(~F.array_contains("anc", F.col("dst")))
-        rows = step.select(
-            "root", F.concat("key", F.array(F.col("ord") + F.col("shift"))).alias("key"), F.col("key").alias("parent_key"), F.col("dst").alias("path"), "relation", "label",
-            (F.col("depth") + 1).alias("depth"), "implied", "implied_from", F.col("src").alias("parent"),
-            F.concat("traversal_path", F.array("dst")).alias("traversal_path"), F.concat("anc", F.array("dst")).alias("anc"),
-        )
-        if prune is not None and not prune.fixed:
-            rows = prune.rows(rows)
-        if rel.depth is None or rel.depth > UNROLLED:
+    done = 0
+    while rel.depth is None or done < rel.depth:
+        laps = UNROLLED if rel.depth is None else min(UNROLLED, rel.depth - done)
+        some = []
+        for lap in range(1, laps + 1):
+            rows = _below(frontier, e)
+            if prune is not None and not prune.fixed:
+                rows = prune.rows(rows)
+            some.append(rows.withColumn("_lap", F.lit(lap)))
+            frontier = rows.select("root", "key", "path", "anc", "traversal_path", "depth", F.lit(0).cast("long").alias("shift"))
+        done += laps
+        rows = union(some)
+        if deep:
             rows = checkpointed(rows)
             if rows.isEmpty():
                 break
-        levels.append(rows)
+            last = rows.where(F.col("_lap") == laps)
+            frontier = last.select("root", "key", "path", "anc", "traversal_path", "depth", F.lit(0).cast("long").alias("shift"))
+        levels.append(rows.drop("_lap"))
         if len(levels) > FOLDED:
             levels = [checkpointed(union(levels))]
-        frontier = rows.select("root", "key", "path", "anc", "traversal_path", "depth", F.lit(0).cast("long").alias("shift"))
     if not levels:
         return _none(start)
     return union(levels)
 
 
+def _below(frontier: DataFrame, e: DataFrame) -> DataFrame:
+    """The rows one level below the frontier's."""
+    step = frontier.join(e, F.col("path") == F.col("src")).where(~F.array_contains("anc", F.col("dst")))
+    return step.select(
+        "root", F.concat("key", F.array(F.col("ord") + F.col("shift"))).alias("key"), F.col("key").alias("parent_key"), F.col("dst").alias("path"), "relation", "label",
+        (F.col("depth") + 1).alias("depth"), "implied", "implied_from", F.col("src").alias("parent"),
+        F.concat("traversal_path", F.array("dst")).alias("traversal_path"), F.concat("anc", F.array("dst")).alias("anc"),
+    )
+
+
 def union(levels: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
