@@ -80,8 +80,8 @@ def depth_first(start: DataFrame, edges: DataFrame, rel: Rel, prune: Pruner | No
     """Every path from the starts that meets no note twice. `start` has root, key, path, anc (notes not to be met again)
     and shift (added to the ord of first steps, so that several items may start at one place).
 
-    Levels are joins; up to UNROLLED levels are one plan. A deeper walk is checkpointed after as many levels each time, and ends where these are
-    empty; without a depth it goes on as long as it finds rows. The number of paths is the size of the result.
+    Levels are joins; up to UNROLLED levels are one plan. A deeper walk is checkpointed after as many levels each time, one without a
+    depth after each level, so that it tries none in vain beyond the first empty one, with which either ends. The number of paths is the size of the result.
     """
     e = relevant(edges, rel)
     if prune is not None and prune.fixed:
@@ -94,7 +94,7 @@ def depth_first(start: DataFrame, edges: DataFrame, rel: Rel, prune: Pruner | No
     levels: list[DataFrame] = []
     done = 0
     while rel.depth is None or done < rel.depth:
-        laps = UNROLLED if rel.depth is None else min(UNROLLED, rel.depth - done)
+        laps = 1 if rel.depth is None else min(UNROLLED, rel.depth - done)
         some = []
         for lap in range(1, laps + 1):
             rows = _below(frontier, e)
