@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from arborq.llm import fim, orchard, pii, vectors
+from arborq.llm import fim, orchard, pii, topk, vectors
 
 TABLES = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(TABLES), reason="the tables are not here")
@@ -187,3 +187,39 @@ def test_pipeline_judges_each_document_once(spark, monkeypatch):
     n = spark.read.parquet(f"{TABLES}/documents.parquet").count()
     assert met["toxicity"].value == n and len(rows) < met["quality"].value <= n
     assert len({r["slot"] for r in rows}) == len(rows)
+
+
+def test_topk_reads_in_order_and_stops(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(3000, 24))
+    x[1000:2000] = x[7]  # a third of all rows are copies of one vector
+    x[2000:2400] = x[8] + 1e-4 * r.normal(size=(400, 24))  # as near as cells can't tell
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    read, left = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    got = {}
+    for row in topk.top_k(df, candidate_block=500, met=read).orderBy("query_id", "rank").collect():
+        got.setdefault(row["query_id"], []).append((row["vec_id"], row["score"]))
+    v = np.floor(1024 * x).astype(np.int64)
+    for q in range(0, len(x), 100):
+        s = v @ v[q]
+        want = sorted(((i, int(s[i])) for i in range(len(x)) if i != q), key=lambda p: (-p[1], p[0]))[:10]
+        assert got[q] == want
+    near = spark.createDataFrame([(0, i, 1000.0 - i) for i in range(2000)], "query_id long, id long, upper double")
+    rows = spark.createDataFrame([(i, [1000.0 - i], 1) for i in range(2000)], "id long, v array<double>, d int")
+    asked = spark.createDataFrame([(0, [1.0], 1)], "id long, v array<double>, d int")
+    best = topk.read_in_order(near, rows, asked, 10, met=left).collect()
+    assert sorted(b["vec_id"] for b in best) == list(range(10)) and left.value == 40
+    assert read.value < len(got) * len(x) / 10
+
+
+def test_least_of_equal_vectors():
+    x = np.array([[1.0], [2.0], [1.0], [1.0], [1.0], [2.0]])
+    ids = np.array([9, 4, 3, 5, 3, 1])
+    kept = topk.least_of_equals(ids, x, 2)
+    assert sorted((x[i, 0], ids[i]) for i in kept) == [(1.0, 3), (1.0, 5), (2.0, 1), (2.0, 4)]
+
+
+def test_topk_ties_beyond_long(spark):
+    rows = spark.createDataFrame([(0, [1e10, 0.0]), (3, [3e30, 0.0]), (2, [2e20, 1.0]), (1, [-1e30, 5.0]), (4, [-1e20, 0.0])], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in topk.top_k(rows, k=3).orderBy("rank").collect()]
+    assert got == [(2, 2**63 - 1), (3, 2**63 - 1), (1, -(2**63))]
