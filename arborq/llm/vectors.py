@@ -2,10 +2,10 @@
 
 A rotation learned on a sample turns vectors into balanced binary codes. Each code is filed under each of
 its substrings, whose width follows the number of rows, and looked up under every substring within a radius of
-its own; vectors of one label that meet there and whose whole codes are near have their cosine taken from the
-original vectors, in a block. Number of tables and radius are those that find all but about one in fifty pairs at the
-threshold, which is tried on partners made for the sample. Blocks are matrices of bounded size, so no pair is
-ever a row: a block gives each vector's number of links and a link to a representative.
+its own. Only ids and codes are filed. Of those that meet there, of one label and with whole codes that are near, the
+original vectors are fetched and their cosine taken, in a block. Number of tables and radius are those that find all but
+about one in fifty pairs at the threshold, which is tried on partners made for the sample. Blocks are matrices of bounded
+size, so no pair is ever a row: a block gives each vector's number of links and a link to a representative.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ THRESHOLD = 0.93
 MAX_FIT = 20_000
 WIDTHS, MAX_PROBE = (8, 24), 2
 RECALL = 0.98
-PER_ROW = 50  # comparisons that cost as much as sending a row
+PER_ROW = 256  # comparisons of codes that cost as much as sending one
+BLOCK, VALUES = 16384, 1 << 20  # a part of a bucket has at most so many rows, and its vectors so many components
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,10 @@ class Quantiser:
     probe: int
     radius: int
 
+    def places(self) -> int:
+        """The places that each code is sent to."""
+        return self.tables * len(self.masks())
+
     def codes(self, x: np.ndarray) -> np.ndarray:
         """One row of 0/1 bytes for each vector."""
         return ((x - self.mean) @ self.rotation >= 0).astype(np.uint8)
@@ -82,8 +87,9 @@ def fit_quantiser(sample: np.ndarray, rows: int = 0, threshold: float = THRESHOL
     """Rotation, and the tables for labels of up to `rows` vectors.
 
     Each of some vectors of the sample gets a partner at the threshold in a random direction. Of the widths and radii
-    by which RECALL of these pairs meet, with the fewest tables that do, the cheapest is taken: the places a vector is
-    sent to, times what it meets in each, which halves with each bit of width. If none reaches RECALL, the one nearest to it.
+    by which RECALL of these pairs meet, with the fewest tables that do, the cheapest is taken: the places a code is
+    sent to, times what it meets in each, which halves with each bit of width, and the parts that such a bucket is cut into.
+    If none reaches RECALL, the one nearest to it.
     """
     d = sample.shape[1]
     mean, rotation = fit_rotation(sample, seed=seed)
@@ -104,11 +110,17 @@ def fit_quantiser(sample: np.ndarray, rows: int = 0, threshold: float = THRESHOL
             met = np.logical_or.accumulate(apart <= probe, axis=1).mean(0)
             tables = int(np.argmax(met >= RECALL)) + 1 if met[-1] >= RECALL else d // width
             model = Quantiser(mean, rotation, width, tables, probe, radius)
-            meets = sum(math.comb(width, k) for k in range(probe + 1)) * tables * (1 + rows / 2.0**width / PER_ROW)
+            size = rows / 2.0**width
+            meets = sum(math.comb(width, k) for k in range(probe + 1)) * tables * (max(1.0, size / block_rows(d)) + size / PER_ROW)
             found.append((max(0.0, RECALL - met[-1]), meets, width, probe, model))
     return min(found, key=lambda f: f[:4])[4]
 
 
+def block_rows(d: int, block: int = BLOCK) -> int:
+    """Rows of a part of a bucket of vectors of length d."""
+    return max(1, min(block, VALUES // d))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     """Rows of length 1; each is divided by its largest component first, so that no square over- or underflows."""
     x = x / np.abs(x).max(1, keepdims=True)
@@ -121,17 +133,14 @@ def _cosines(x: np.ndarray, r: np.ndarray, c: np.ndarray, step: int = 16384) ->
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def link_block(ids: np.ndarray, x: np.ndarray, weight: np.ndarray, away: np.ndarray, side: np.ndarray | None, bucket: np.ndarray, bits: np.ndarray,
-               model: Quantiser, t: int, threshold: float, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows filed in table t, sorted by bucket: each row's summed weight of partners, and a root of its links here.
+def _near_codes(ids: np.ndarray, away: np.ndarray, side: np.ndarray | None, bucket: np.ndarray, bits: np.ndarray, model: Quantiser, t: int, step: int = 512) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Tiles (rows, rows, which pairs are candidates) of rows filed in table t, sorted by bucket.
 
     A row is a vector's own place or a look-up (away) of a substring near its own. Own places meet each other and the
     look-ups of vectors with a larger id, in the first table alone in which their substrings are within the radius, so
     that each pair counts once. side (0 or 1) tells the two parts of a cut bucket apart, of which only pairs across count.
     """
     n = len(ids)
-    sums = np.zeros(n, np.int64)
-    root = np.arange(n)
     signs = bits.astype(np.float32) * 2 - 1
     sub = model.substrings(bits)
     for i in range(0, n, step):
@@ -140,7 +149,8 @@ def link_block(ids: np.ndarray, x: np.ndarray, weight: np.ndarray, away: np.ndar
             b = slice(j, min(n, j + step))
             if bucket[j] > bucket[a.stop - 1]:
                 break
-            near = bucket[a][:, None] == bucket[b][None, :]
+            near = (bits.shape[1] - signs[a] @ signs[b].T) <= 2 * model.radius + 0.5
+            near &= bucket[a][:, None] == bucket[b][None, :]
             if side is not None:
                 near &= side[a][:, None] != side[b][None, :]
             if i == j:
@@ -148,20 +158,39 @@ def link_block(ids: np.ndarray, x: np.ndarray, weight: np.ndarray, away: np.ndar
             if away.any():
                 first, second, low = away[a][:, None], away[b][None, :], ids[a][:, None] < ids[b][None, :]
                 near &= (~first & ~second) | (~first & second & low) | (first & ~second & (ids[a][:, None] > ids[b][None, :]))
-            if not near.any():
-                continue
-            near &= (bits.shape[1] - signs[a] @ signs[b].T) <= 2 * model.radius + 0.5
             for u in range(t):
+                if not near.any():
+                    break
                 near &= np.bitwise_count(sub[a, u][:, None] ^ sub[b, u][None, :]) > model.probe
-            if near.sum() > near.size // 20:  # a product of matrices parts most; what is near the threshold is left to the sums below
-                near &= x[a] @ x[b].T >= threshold - 1e-9
-            r, c = np.nonzero(near)
-            good = _cosines(x, i + r, j + c) >= threshold
-            r, c = r[good] + i, c[good] + j
-            if not len(r):
-                continue
-            sums += np.bincount(r, weight[c], n).astype(np.int64) + np.bincount(c, weight[r], n).astype(np.int64)
-            root = _merged(root, r, c)
+            if near.any():
+                yield a, b, near
+
+
+def meeting(*args, **more) -> np.ndarray:
+    """Which rows of _near_codes have a candidate."""
+    met = np.zeros(len(args[0]), bool)
+    for a, b, near in _near_codes(*args, **more):
+        met[a] |= near.any(1)
+        met[b] |= near.any(0)
+    return met
+
+
+def link_block(ids: np.ndarray, x: np.ndarray, weight: np.ndarray, away: np.ndarray, side: np.ndarray | None, bucket: np.ndarray, bits: np.ndarray,
+               model: Quantiser, t: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the candidates of _near_codes with vectors x: each row's summed weight of partners, and a root of its links here."""
+    n = len(ids)
+    sums = np.zeros(n, np.int64)
+    root = np.arange(n)
+    for a, b, near in _near_codes(ids, away, side, bucket, bits, model, t):
+        if near.sum() > near.size // 20:  # a product of matrices parts most; what is near the threshold is left to the sums below
+            near &= x[a] @ x[b].T >= threshold - 1e-9
+        r, c = np.nonzero(near)
+        good = _cosines(x, a.start + r, b.start + c) >= threshold
+        r, c = r[good] + a.start, c[good] + b.start
+        if not len(r):
+            continue
+        sums += np.bincount(r, weight[c], n).astype(np.int64) + np.bincount(c, weight[r], n).astype(np.int64)
+        root = _merged(root, r, c)
     return sums, ids[root]
 
 
@@ -189,7 +218,7 @@ def usable(vectors: DataFrame, vector: str) -> F.Column:
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = THRESHOLD, block: int = 1024, max_fit: int = MAX_FIT, key: str = "vec_id", vector: str = "embedding", label: str = "label",
+    vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, max_fit: int = MAX_FIT, key: str = "vec_id", vector: str = "embedding", label: str = "label",
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of vectors.
 
@@ -199,8 +228,9 @@ def near_duplicates(
     they link with each other and share their links, without pairs between copies. Rows that repeat a key
     are one vector, the first by label and components, and each get its result; rows with a null key link with
     nothing and are kept. The quantisers, one for each length, are fitted on at most max_fit vectors, taken by a hash;
-    every vector is indexed. A bucket of more than `block` rows is cut into parts, and each two parts meet in a group
-    of their own, whatever share of the vectors the bucket holds. An empty table gives an empty result.
+    every vector is indexed. A bucket of more than `block` rows (fewer for long vectors) is cut into parts, and each two parts
+    meet in a group of their own, whatever share of the vectors the bucket holds. Codes meet first; vectors are then sent to
+    the groups in which their codes have a candidate. An empty table gives an empty result.
     """
     every = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).alias("v"))
     rows = every.where("id is not null").groupBy("id").agg(F.min(F.struct("label", "v")).alias("r")).select("id", "r.label", "r.v")
@@ -209,7 +239,8 @@ def near_duplicates(
         fine.groupBy("label", "d", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     )
     members = fine.join(classes.withColumnRenamed("rep", "class"), ["label", "d", "v"]).select("id", "class", F.col("n").alias("copies"))
-    largest = {r["d"]: r["n"] for r in classes.groupBy("label", "d").count().groupBy("d").agg(F.max("count").alias("n")).collect()}
+    counted = classes.groupBy("label", "d").count().groupBy("d").agg(F.max("count").alias("n"), F.sum("count").alias("all")).collect()
+    largest = {r["d"]: r["n"] for r in counted}
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(max_fit).select("d", "v").toArrow()
     models: dict[int, Quantiser] = {}
     for d, rows_of_d in largest.items():
@@ -228,52 +259,62 @@ def near_duplicates(
                     for k, flip in enumerate(model.masks()):
                         yield pa.RecordBatch.from_pandas(
                             pd.DataFrame({
-                                "label": part["label"], "d": part["d"], "t": t, "at": sub[:, t] ^ flip, "rep": part["rep"], "n": part["n"], "v": part["v"], "code": packed, "away": k > 0,
+                                "label": part["label"], "d": part["d"], "t": t, "at": sub[:, t] ^ flip, "rep": part["rep"], "code": packed, "away": k > 0,
                             }), preserve_index=False,
                         )
 
-    kind = classes.schema["v"].dataType.simpleString()
-    filed = classes.mapInArrow(file, f"label string, d int, t long, at long, rep long, n long, v {kind}, code binary, away boolean")
+    places = "label string, d int, t long, at long"
+    filed = classes.select("label", "d", "rep", "v").mapInArrow(file, f"{places}, rep long, code binary, away boolean")
     place = ["label", "d", "t", "at"]
+    limit = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(VALUES) / F.col("d"))))
     sizes = (
-        classes.mapInArrow(_places(file), "label string, d int, t long, at long")
+        classes.select("label", "d", "rep", "v")
+        .mapInArrow(_places(file), places)
         .groupBy(*place)
         .agg(F.count(F.lit(1)).alias("size"))
-        .where(F.col("size") > block)
-        .withColumn("parts", F.ceil(F.col("size") / block).cast("int"))
+        .where(F.col("size") > limit)
+        .withColumn("parts", F.ceil(F.col("size") / limit).cast("int"))
         .drop("size")
     )
-    copies = max((m.tables * len(m.masks()) for m in models.values()), default=1)
-    packs = max(1, math.ceil(classes.count() * copies / (2 * block)))
+    packs = max(1, math.ceil(sum(r["all"] * models[r["d"]].places() / (2 * block_rows(r["d"], block)) for r in counted)))
     cut = filed.join(sizes, place, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     bucket = F.xxhash64(*place)
     mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     dealt = cut.withColumn("p", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    group = ["d", "parts", "cell", "lo", "hi"]
     dealt = dealt.select(
-        *place, "rep", "n", "v", "code", "away", F.least("p", "other").alias("lo"), F.greatest("p", "other").alias("hi"),
+        *place, "rep", "code", "away", F.least("p", "other").alias("lo"), F.greatest("p", "other").alias("hi"),
         F.when(F.col("parts") == 1, F.pmod(bucket, F.lit(packs))).otherwise(bucket).alias("cell"), F.col("parts"),
         F.when(F.col("p") < F.col("other"), F.lit(0)).otherwise(F.lit(1)).alias("side"),
     )
 
-    def link(part: pd.DataFrame) -> pd.DataFrame:
+    def tables_of(part: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, tuple]]:
+        """The rows of each table of a group that hold more than one, and what _near_codes asks of them."""
         d = int(part["d"].iloc[0])
         part = part.assign(bucket=part.groupby(["label", "at"], sort=True).ngroup()).sort_values(["t", "bucket", "rep"], kind="stable")
         across = part["lo"].iloc[0] != part["hi"].iloc[0]
-        out = []
         for t, rows in part.groupby("t"):
-            if len(rows) < 2:
-                continue
-            bits = np.unpackbits(np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1), axis=1)[:, :d]
-            ids = rows["rep"].to_numpy()
-            found, root = link_block(
-                ids, _unit(np.vstack(rows["v"].to_list()).astype(np.float64)), rows["n"].to_numpy(), rows["away"].to_numpy(), rows["side"].to_numpy() if across else None,
-                rows["bucket"].to_numpy(), bits, models[d], int(t), threshold,
-            )
+            if len(rows) > 1:
+                bits = np.unpackbits(np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1), axis=1)[:, :d]
+                side = rows["side"].to_numpy() if across else None
+                yield rows.drop(columns="bucket"), (rows["away"].to_numpy(), side, rows["bucket"].to_numpy(), bits, models[d], int(t))
+
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
+        out = [rows[meeting(rows["rep"].to_numpy(), *asked)] for rows, asked in tables_of(part)]
+        return pd.concat(out) if out else part.head(0)
+
+    def link(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for rows, asked in tables_of(part):
+            x = _unit(np.vstack(rows["v"].to_list()).astype(np.float64))
+            found, root = link_block(rows["rep"].to_numpy(), x, rows["n"].to_numpy(), *asked, threshold)
             kept = found > 0
-            out.append(pd.DataFrame({"rep": ids[kept], "found": found[kept], "root": root[kept]}))
+            out.append(pd.DataFrame({"rep": rows["rep"].to_numpy()[kept], "found": found[kept], "root": root[kept]}))
         return pd.concat(out) if out else pd.DataFrame({"rep": [], "found": [], "root": []}).astype("int64")
 
-    links = checkpointed(dealt.groupBy("d", "parts", "cell", "lo", "hi").applyInPandas(link, "rep long, found long, root long"))
+    met = dealt.groupBy(*group).applyInPandas(meet, dealt.schema)
+    fetched = met.join(classes.select("rep", "v", "n"), "rep")
+    links = checkpointed(fetched.groupBy(*group).applyInPandas(link, "rep long, found long, root long"))
     found = links.groupBy("rep").agg(F.sum("found").alias("found"))
     joined = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     per_class = (
