@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from arborq.llm import fim, orchard, pii, topk, vectors
+from arborq.llm import fim, html_text, orchard, pii, topk, vectors
 
 TABLES = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(TABLES), reason="the tables are not here")
@@ -223,3 +223,42 @@ def test_topk_ties_beyond_long(spark):
     rows = spark.createDataFrame([(0, [1e10, 0.0]), (3, [3e30, 0.0]), (2, [2e20, 1.0]), (1, [-1e30, 5.0]), (4, [-1e20, 0.0])], "vec_id long, embedding array<double>")
     got = [(r["vec_id"], r["score"]) for r in topk.top_k(rows, k=3).orderBy("rank").collect()]
     assert got == [(2, 2**63 - 1), (3, 2**63 - 1), (1, -(2**63))]
+
+
+LINE = "A sentence with quite a few words that goes on for a while, as text does."
+
+
+def bare(page):
+    """A page without classes, ids and roles, its meaningful elements as div."""
+    page = re.sub(r"\s(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*')", "", page)
+    return re.sub(r"<(/?)(article|main|nav|footer|aside|header|form|menu|section|dialog)\b[^>]*>", r"<\1div>", page)
+
+
+@here
+def test_fitted_looks_label_pages_without_marks(spark):
+    pages = spark.read.parquet(f"{TABLES}/pages.parquet")
+    weights = html_text.fit(pages.where("page_id % 2 = 0"))
+    assert weights != html_text.PLAIN and max(map(abs, weights)) < 20
+    right = always = n = 0
+    for r in pages.where("page_id % 2 = 1").collect():
+        want, got = ([keep for _, keep in html_text.labels_of(p, weights)] for p in (r["html"], bare(r["html"] or "")))
+        assert len(want) == len(got)
+        n, right, always = n + len(want), right + sum(a == b for a, b in zip(want, got, strict=True)), always + sum(want)
+    assert right >= 0.95 * n > max(always, n - always)
+    kept = html_text.main_text(f"<p>{LINE}</p><ul><li>one</li><li>two</li></ul><p>{LINE}</p>", weights)
+    assert kept == f"{LINE}\none\ntwo\n{LINE}"
+
+
+def test_ambiguous_names_leave_it_to_the_cut():
+    keep = "The board of the village holds all that people want to say."
+    assert html_text.main_text(f"<main><p>{LINE}</p><p class='notice-board'>{keep}</p></main>") == f"{LINE}\n{keep}"
+    for name in ("notice", "site-notice", "notice-bar", "ad-slot", "comment-thread", "notice-2"):
+        assert html_text.main_text(f"<main><p>{LINE}</p><div class='{name}'>{keep}</div></main>") == LINE
+
+
+def test_looks_without_both_kinds_of_marks_stay_plain(spark):
+    pages = spark.createDataFrame([(1, f"<main><p>{LINE}</p></main>"), (2, None), (3, "")], "page_id long, html string")
+    assert html_text.fit(pages) == html_text.PLAIN == html_text.fit(pages.limit(0))
+    n, x = np.array([30.0, 30.0]), np.tile(np.array(html_text.PLAIN) * 0 + 1, (2, 1))
+    same = html_text.weights_of(n, 30 * x, 30 * x[:, :, None] * x[:, None, :])
+    assert same[1:] == html_text.PLAIN[1:]  # nothing varies
