@@ -4,11 +4,9 @@ A document's words give five-word k-mers, each labelled with its occurrence numb
 each of several hash functions the two least labelled k-mers are taken and kept in text order: one band.
 Two texts agree in a band about as often as the square of their k-mers' Jaccard similarity, so that texts
 whose words align in 0.8 still share one of the bands. Exact copies are one class from the start. In each
-bucket of a band every text is first aligned with one hub. All pairs of a bucket of up to HOT texts that
-are then still in different components are candidates too. A larger bucket, such as of a passage that
-many texts quote, is split instead of paired: of each of its texts the k-mers which the hub lacks are
-sketched anew, and these bands are buckets in the same way, so that a quoted passage brings nobody together
-twice. Buckets of these bands meet pair by pair, in blocks of bounded size.
+bucket of a band every text is first aligned with one hub. All pairs of a bucket, whatever its size, that
+are then still in different components are candidates too: they meet in blocks of bounded size, so that a
+passage that many texts quote is work for many tasks. Bounds of lengths, words and word pairs part most.
 """
 
 from __future__ import annotations
@@ -28,7 +26,7 @@ from pyspark.sql import functions as F
 from arborq.llm.common import checkpointed, components, release, table
 
 K, SAME, BANDS = 5, 0.8, 62
-HOT, AGAIN = 64, 40  # texts in a bucket that is paired; bands of what the hub of a larger one lacks
+PER_HUB = 64  # members for which a hub's text is sent once
 PER_BLOCK, BLOCK_WORDS = 512, 200_000
 BINS, LEVELS = 1024, 4
 _WORD = re.compile(r"\w+")
@@ -131,7 +129,7 @@ def _banded(a: list, b: list, k: int) -> int:
 
 
 class Words:
-    """A text's words, their counts and the hashes of its labelled k-mers, worked out when asked for."""
+    """A text's words, their counts and what bounds of shared words and word pairs are taken from, worked out when asked for."""
 
     def __init__(self, text: str):
         self.list = words_of(text)
@@ -141,17 +139,9 @@ class Words:
         return Counter(self.list)
 
     @cached_property
-    def kmers(self) -> np.ndarray:
-        return labelled_kmers(hashes_of(self.list))
-
-    @cached_property
-    def sorted_kmers(self) -> np.ndarray:
-        return np.sort(self.kmers)
-
-    def beyond(self, hub: Words) -> np.ndarray:
-        """The k-mers that the hub lacks, in text order."""
-        at = np.minimum(np.searchsorted(hub.sorted_kmers, self.kmers), len(hub.kmers) - 1)
-        return self.kmers[hub.sorted_kmers[at] != self.kmers]
+    def profiles(self) -> tuple[tuple[np.ndarray, int], tuple[np.ndarray, int]]:
+        h = hashes_of(self.list)
+        return _profile(h), _profile(_mixed(h[:-1] * STEP[0] + h[1:] * STEP[1]))
 
 
 def edits(a: list, b: list, limit: int) -> int:
@@ -210,28 +200,25 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows (a, b, hot, known, hub, other): do hub and other link (not asked where known), and where hot, the sketch of what the hub lacks."""
+    """The rows (a, b, hub, other) of which hub and other link, as (a, b)."""
     last, hub = None, None
     for batch in batches:
-        a, b, hot, known = (batch.column(i).to_pylist() for i in range(4))
-        linked, rest = [], []
+        a = batch.column(0).to_pylist()
+        linked = []
         for i in range(len(a)):
             if a[i] != last:
-                last, hub = a[i], Words(batch.column(4)[i].as_py())
-            other = Words(batch.column(5)[i].as_py())
-            linked.append(not known[i] and alike(hub, other))
-            beyond = other.beyond(hub) if hot[i] else None
-            rest.append(sketch(beyond).view(np.int64) if beyond is not None and len(beyond) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "linked", "rest"])
+                last, hub = a[i], Words(batch.column(2)[i].as_py())
+            linked.append(alike(hub, Words(batch.column(3)[i].as_py())))
+        yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
 def _with_hubs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, linked, rest) of pairs (hub a, member b, size of their largest bucket, hot, known). A hub's text is sent once for about HOT members."""
-    asked = pairs.withColumn("copy", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / HOT)).cast("int"))
+    """The linked ones of pairs (hub a, member b, size of their largest bucket). A hub's text is sent once for about PER_HUB members."""
+    asked = pairs.withColumn("copy", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / PER_HUB)).cast("int"))
     hubs = texts.join(asked.select(F.col("a").alias("id"), "copy").distinct().hint("merge"), "id").select(F.col("id").alias("a"), "copy", F.col("text").alias("hub"))
     others = texts.select(F.col("id").alias("b"), F.col("text").alias("other"))
-    both = asked.join(others.hint("merge"), "b").join(hubs.hint("merge"), ["a", "copy"]).select("a", "b", "hot", "known", "hub", "other")
-    return checkpointed(both.mapInArrow(_tried, "a long, b long, linked boolean, rest array<long>"))
+    both = asked.join(others.hint("merge"), "b").join(hubs.hint("merge"), ["a", "copy"]).select("a", "b", "hub", "other")
+    return checkpointed(both.mapInArrow(_tried, "a long, b long"))
 
 
 def _blocked(opened: DataFrame) -> DataFrame:
@@ -260,32 +247,41 @@ def _most_shared(profiles: list[tuple[np.ndarray, int]]):
 def _meeting(group: pa.Table) -> list[tuple[int, int]]:
     """Links (a, b) found among the pairs of one group whose components differ, the links found before among them.
 
-    A pair is tried in the first band that it shares, of those whose buckets are paired. An edit changes one word and
+    A pair is tried in the first band that it shares. An edit changes one word and
     two word pairs, which bounds the edit distance by the words and word pairs that are not shared.
     """
-    rep, n, block, top, split = (group[x].to_numpy().copy() for x in ("rep", "n", "block", "c", "split"))
+    rep, n, block, top = (group[x].to_numpy().copy() for x in ("rep", "n", "block", "c"))
     lo, hi, band = (group[x][0].as_py() for x in ("lo", "hi", "band"))
     left = np.flatnonzero(block == lo)
     right = left if lo == hi else np.flatnonzero(block == hi)
     if not len(left) or not len(right) or (top == top[0]).all():
         return []
     bands = group["bands"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(group), -1)
-    paired = (split[:, None] >> np.arange(bands.shape[1]) & 1) == 0
-    texts = [Words(t.as_py()) for t in group["text"]]
-    hashes = [hashes_of(t.list) for t in texts]
-    words_shared = _most_shared([_profile(h) for h in hashes])
-    pairs_shared = _most_shared([_profile(_mixed(h[:-1] * STEP[0] + h[1:] * STEP[1])) for h in hashes])
-    found = []
+    earlier = np.ascontiguousarray(bands[:, :band].T)
+    first: list[tuple[int, np.ndarray]] = []  # pairs of which this band is the first shared one
     for i in left:
         j = right[(top[right] != top[i]) & ((rep[right] > rep[i]) | (lo != hi))]
         j = j[np.minimum(n[j], n[i]) >= SAME * np.maximum(n[j], n[i])]
-        j = j[((bands[j] == bands[i]) & paired[i]).argmax(1) == band]
+        for at in range(0, band, 8):
+            j = j[~(earlier[at : at + 8, j] == earlier[at : at + 8, i, None]).any(0)] if len(j) else j
+        if len(j):
+            first.append((i, j))
+    if not first:
+        return []
+    used = np.unique(np.concatenate([np.append(j, i) for i, j in first]))
+    place = np.zeros(len(group), np.int64)
+    place[used] = np.arange(len(used))
+    texts = [Words(group["text"][int(i)].as_py()) for i in used]
+    words_shared, pairs_shared = (_most_shared([t.profiles[x] for t in texts]) for x in (0, 1))
+    found = []
+    for i, j in first:
+        j = j[top[j] != top[i]]
         for shared, by_edit in ((words_shared, 1), (pairs_shared, 2)):
             longest = np.maximum(n[j], n[i])
             most = np.floor(longest * (1 - SAME) + 1e-9)
-            j = j[longest - (by_edit - 1) - shared(i, j) <= by_edit * most]
+            j = j[longest - (by_edit - 1) - shared(place[i], place[j]) <= by_edit * most]
         for x in j:
-            if top[x] != top[i] and alike(texts[i], texts[x]):
+            if top[x] != top[i] and alike(texts[place[i]], texts[place[x]]):
                 top[top == top[x]] = top[i]
                 found.append((int(rep[i]), int(rep[x])))
     return found
@@ -323,48 +319,39 @@ def _joined_further(joined: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(old.unionByName(more.join(joined, "node", "left_anti").select("node", "component")))
 
 
-PLACE = ["place", "band", "key"]
+PLACE = ["band", "key"]
 GROUP = [*PLACE, "lo", "hi"]
 
 
 def _members(sketches: DataFrame) -> DataFrame:
-    """Rows (place, band, key, hub, hub_n, size, rep, n) of the texts beside the hub in buckets of two or more, from (place, rep, n, rest).
+    """Rows (band, key, hub, hub_n, size, rep, n) of the texts beside the hub in buckets of two or more, from (rep, n, bands).
 
-    Buckets are counted by their keys alone; most hold one text, which is sent no further.
+    The rows are dealt by bucket once, for counting and for joining the counts.
     """
-    filed = sketches.select("place", "rep", "n", F.posexplode("rest").alias("band", "key"))
-    shared = filed.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = checkpointed(filed.join(shared.hint("merge"), PLACE))
-    hubs = members.groupBy(*PLACE).agg(F.min(F.struct("rep", "n")).alias("h"))
-    return checkpointed(members.join(hubs.hint("merge"), PLACE).select(*PLACE, F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"), "size", "rep", "n").where("rep <> hub"))
+    filed = sketches.select("rep", "n", F.posexplode("bands").alias("band", "key")).repartition(*PLACE)
+    shared = filed.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub"), F.min_by("n", "rep").alias("hub_n")).where("size > 1")
+    return checkpointed(filed.join(shared.hint("merge"), PLACE).where("rep <> hub"))
 
 
-def _hubs_tried(members: DataFrame, texts: DataFrame, joined: DataFrame | None, hot: F.Column) -> DataFrame:
-    """Each text beside each of its hubs: (a, b, linked, rest)."""
-    near = F.least("n", "hub_n") >= SAME * F.greatest("n", "hub_n")  # texts of more unequal lengths can't link
-    pairs = members.groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.max("size").alias("size"), F.bool_or(hot).alias("hot"), (~F.bool_or(near)).alias("known"))
-    if joined is not None:
-        of = lambda end: joined.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c"))
-        same = F.coalesce(F.col("a_c") == F.col("b_c"), F.lit(False))
-        pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumn("known", F.col("known") | same).drop("a_c", "b_c")
-    return _with_hubs(pairs.where("hot or not known"), texts)
+def _hubs_tried(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of texts with their hubs."""
+    near = members.where(F.least("n", "hub_n") >= SAME * F.greatest("n", "hub_n"))  # texts of more unequal lengths can't link
+    return _with_hubs(near.groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.max("size").alias("size")), texts)
 
 
 def _opened(members: DataFrame, joined: DataFrame) -> DataFrame:
     """Members of buckets whose texts beside the hub are in different components (c), with the bucket's words."""
-    inside = members.join(joined.hint("merge"), members["rep"] == joined["node"], "left").select(*PLACE, "hub", "rep", "n", "size", F.coalesce("component", "rep").alias("c"))
+    inside = members.join(joined.hint("merge"), members["rep"] == joined["node"], "left").select(*PLACE, "rep", "n", "size", F.coalesce("component", "rep").alias("c"))
     apart = inside.groupBy(*PLACE).agg(F.min("c").alias("least"), F.max("c").alias("most"), F.sum("n").alias("words")).where("least <> most")
     return checkpointed(inside.join(apart.select(*PLACE, "words").hint("merge"), PLACE))
 
 
-def _paired(opened: DataFrame, members: DataFrame, sketches: DataFrame, texts: DataFrame, hot: F.Column) -> DataFrame:
-    """Links (a, b) between members of open buckets that aren't hot, where every pair is tried."""
-    split = members.groupBy("place", "rep").agg(F.bit_or(F.when(hot, F.expr("shiftleft(1L, band)")).otherwise(F.lit(0).cast("long"))).alias("split"))
-    bands = F.transform("rest", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")
-    some = opened.where(~hot)
-    marks = sketches.select("place", "rep", bands).join(some.select("place", "rep").distinct().hint("merge"), ["place", "rep"]).join(split.hint("merge"), ["place", "rep"])
+def _paired(opened: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between members of open buckets, where every pair is tried."""
+    bands = F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")
+    marks = sketches.select("rep", bands).join(opened.select("rep").distinct().hint("merge"), "rep")
     whole = marks.join(texts.withColumnRenamed("id", "rep").hint("merge"), "rep")
-    groups = _blocked(some).join(whole.hint("merge"), ["place", "rep"]).select(*GROUP, "block", "rep", "n", "c", "split", "bands", "text")
+    groups = _blocked(opened).join(whole.hint("merge"), "rep").select(*GROUP, "block", "rep", "n", "c", "bands", "text")
     return checkpointed(groups.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(_met, "a long, b long"))
 
 
@@ -388,28 +375,25 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     keys = checkpointed(sketched.groupBy("id").agg(F.min(F.struct("tie", "digest")).alias("s"), F.count(F.lit(1)).alias("rows")).select("id", "s.*", "rows"))
     copies = checkpointed(keys.where("digest is not null").groupBy("digest").agg(F.min(F.struct("id", "tie")).alias("s")).select("digest", "s.*"))
     own = sketched.where("bands is not null").select("id", "tie", "bands", "n").join(copies.select("id", "tie").hint("merge"), ["id", "tie"]).dropDuplicates(["id", "tie"])
-    sketches = checkpointed(own.select(F.lit(-1).cast("long").alias("place"), F.col("id").alias("rep"), "n", F.col("bands").alias("rest")))
+    sketches = checkpointed(own.select(F.col("id").alias("rep"), "n", "bands"))
+    del sketched, own  # what nothing refers to any more is released
+    release(docs.sparkSession)
     members = _members(sketches)
     release(docs.sparkSession)
     involved = members.select(F.explode(F.array("rep", "hub")).alias("id")).distinct()
     wanted = involved.join(copies.select("id", "tie").hint("merge"), "id")
     texts = checkpointed(rows.join(wanted.hint("merge"), ["id", "tie"]).dropDuplicates(["id", "tie"]).select("id", "text"))
-    hot, never = F.col("size") > HOT, F.lit(False)
-    tried = _hubs_tried(members, texts, None, hot)
+    del involved, wanted
     release(docs.sparkSession)
-    joined = components(tried.where("linked").select("a", "b"))
+    linked = _hubs_tried(members, texts)
+    release(docs.sparkSession)
+    joined = components(linked)
     release(docs.sparkSession)
     opened = _opened(members, joined)
-    links = _paired(opened, members, sketches, texts, hot)
-    # A text's hot buckets have few different hubs; the two least stand for them, as texts that share one bucket mostly share these.
-    lacking = opened.where(hot).groupBy("rep", "n").agg(F.slice(F.array_sort(F.collect_set("hub")), 1, 2).alias("hubs")).select("rep", "n", F.explode("hubs").alias("a"))
-    again = lacking.join(tried.where("rest is not null").select("a", F.col("b").alias("rep"), F.slice("rest", 1, AGAIN).alias("rest")).hint("merge"), ["a", "rep"])
-    sketches = checkpointed(again.select(F.col("a").alias("place"), "rep", "n", "rest"))
-    if not sketches.isEmpty():
-        release(docs.sparkSession)
-        members = _members(sketches)
-        more = _hubs_tried(members, texts, joined, never).where("linked").select("a", "b")
-        links = links.unionByName(more).unionByName(_paired(_opened(members, joined), members, sketches, texts, never))
+    del members, linked
+    release(docs.sparkSession)
+    links = _paired(opened, sketches, texts)
+    del opened, sketches, texts
     release(docs.sparkSession)
     joined = _joined_further(joined, links)
     of_copy = copies.join(joined, copies["id"] == joined["node"], "left").select("digest", F.coalesce("component", "id").alias("class_id"))

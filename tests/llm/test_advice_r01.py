@@ -35,6 +35,26 @@ def test_near_dedup_aligns_a_pair_of_one_band_behind_a_strange_hub(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(rows).collect()} == {1: 1, 2: 2, 3: 2}
 
 
+def behind_other_hubs():
+    """Texts of which the last two, a and b, align and meet in one bucket alone, of 101 more texts; those least in a's other large buckets aren't in it."""
+    a, b, hub = (t.split() for t in one_band_pair())
+    own = sketched(a)
+    band = np.flatnonzero(own == sketched(b))[0]
+    parts = [(a[i:j], sketched(a[i:j]) == own) for i in range(0, 100, 3) for j in range(i + 60, min(i + 158, 201), 3)]
+    inside = random.Random(6).sample([p for p in parts if p[1][band]], 100)
+    large = sum(same.astype(int) for _, same in inside) >= 65
+    outside = [p for p in parts if not p[1][band] and (p[1] & large).any()]
+    x, same = outside[0]
+    y = next(p for p, other in outside if (other & ~same & large).any())
+    return [" ".join(t) for t in (x, y, hub, *(p for p, _ in inside), a, b)]
+
+
+def test_near_dedup_pairs_a_bucket_of_many_texts_whole(spark):
+    rows = spark.createDataFrame(list(enumerate(behind_other_hubs())), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(rows).collect()}
+    assert got[103] == got[104] == 103
+
+
 def test_near_dedup_meets_a_hot_bucket_in_bounded_groups(spark, monkeypatch):
     """64 texts of one bucket: each pair is tried once, in groups of a few."""
     monkeypatch.setattr(near_dedup, "PER_BLOCK", 8)
