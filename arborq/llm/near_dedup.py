@@ -224,11 +224,20 @@ def _with_hubs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _blocked(opened: DataFrame) -> DataFrame:
     """Rows of open buckets (with their size and words) copied to the groups (*PLACE, lo, hi) in which block lo meets block hi.
 
-    A block has about PER_BLOCK rows and BLOCK_WORDS words (a text at least), whatever the bucket's size.
+    A block has about PER_BLOCK rows and BLOCK_WORDS words (a text at least), whatever the bucket's size. Where a bucket takes several
+    blocks, its largest component has blocks of its own, which meet all others but not each other, as their texts are joined already.
     """
-    blocks = F.ceil(F.greatest(F.col("size") / PER_BLOCK, F.col("words") / BLOCK_WORDS)).cast("int")
-    cut = opened.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return cut.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "size", "words")
+    blocks = lambda rows, words: F.ceil(F.greatest(rows / PER_BLOCK, words / BLOCK_WORDS)).cast("int")
+    parts = opened.where(blocks(F.col("size"), F.col("words")) > 1).groupBy(*PLACE, "c").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("within"))
+    core = parts.groupBy(*PLACE).agg(F.max(F.struct("rows", "c", "within")).alias("core"))
+    dealt = opened.join(core.hint("merge"), PLACE, "left")
+    cores = F.coalesce(blocks(F.col("core.rows"), F.col("core.within")), F.lit(0))
+    rest = F.greatest(blocks(F.col("size") - F.coalesce("core.rows", F.lit(0)), F.col("words") - F.coalesce("core.within", F.lit(0))), F.lit(1))
+    inner, spread = F.coalesce(F.col("c") == F.col("core.c"), F.lit(False)), F.xxhash64("rep")
+    block = F.when(inner, rest + F.pmod(spread, F.greatest(cores, F.lit(1)))).otherwise(F.pmod(spread, rest)).cast("int")
+    met = F.sequence(F.lit(0), F.when(inner, rest).otherwise(rest + cores) - 1)
+    cut = dealt.withColumn("block", block).withColumn("other", F.explode(met))
+    return cut.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "size", "words", "core")
 
 
 def _profile(hashes: np.ndarray) -> tuple[np.ndarray, int]:
