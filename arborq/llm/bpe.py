@@ -124,7 +124,12 @@ NO_RANK = 1 << 40
 SHORT = 100
 
 
-def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+def _two_bytes(ranks: dict[bytes, int]) -> list[int]:
+    """The rank of each pair of bytes, at 256 times the first one plus the second."""
+    return [ranks.get(bytes((a, b)), NO_RANK) for a in range(256) for b in range(256)]
+
+
+def merge_pairs(piece: bytes, ranks: dict[bytes, int], two_bytes: list[int] | None = None) -> tuple[int, ...]:
     """Ids of one piece: the adjacent pair of the least rank (the leftmost of equals) is joined until none is left.
 
     Short pieces keep the pairs' ranks in a list; long ones a heap with a linked list, for n log n.
@@ -132,23 +137,28 @@ def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     whole = ranks.get(piece)
     if whole is not None:
         return (whole,)
-    return _merge_short(piece, ranks.get) if len(piece) <= SHORT else _merge_long(piece, ranks)
+    if len(piece) > SHORT:
+        return _merge_long(piece, ranks)
+    return _merge_short(piece, ranks.get, two_bytes)
 
 
-def _merge_short(piece: bytes, rank) -> tuple[int, ...]:
-    n = len(piece)
-    cut = list(range(n + 1))
-    pair = [rank(piece[i : i + 2], NO_RANK) for i in range(n - 1)]
+def _merge_short(piece: bytes, rank, two_bytes: list[int] | None = None) -> tuple[int, ...]:
+    cut = list(range(len(piece) + 1))
+    if two_bytes is None:
+        pair = [rank(piece[i : i + 2], NO_RANK) for i in range(len(piece) - 1)]
+    else:
+        pair = [two_bytes[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
     while pair:
         least = min(pair)
         if least == NO_RANK:
             break
         i = pair.index(least)
         del cut[i + 1], pair[i]
+        start, stop = cut[i], cut[i + 1]
         if i < len(pair):
-            pair[i] = rank(piece[cut[i] : cut[i + 2]], NO_RANK)
+            pair[i] = rank(piece[start : cut[i + 2]], NO_RANK)
         if i:
-            pair[i - 1] = rank(piece[cut[i - 1] : cut[i + 1]], NO_RANK)
+            pair[i - 1] = rank(piece[cut[i - 1] : stop], NO_RANK)
     return tuple([rank(piece[a:b]) for a, b in zip(cut, cut[1:], strict=False)])
 
 
@@ -191,14 +201,14 @@ class _Cache(dict):
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.two_bytes = ranks, _two_bytes(ranks)
         self.old: dict[str, bytes] = {}
         self.size = 0
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = array("i", merge_pairs(piece.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
+            ids = array("i", merge_pairs(piece.encode("utf-8", "surrogatepass"), self.ranks, self.two_bytes)).tobytes()
         if len(piece) <= CACHED_LENGTH:
             if self.size >= CACHED_BYTES:
                 self.old = dict(self)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from arborq.llm import html_text, near_dedup
+from arborq.llm import bpe, html_text, near_dedup
 
 
 def sketched(words):
@@ -95,3 +95,11 @@ def test_html_with_missing_end_tags():
         assert texts(f"<body><div><{tag}><div>gone</div>gone</{tag}>one</div></body>") == ["one"]
     assert [x[2] for x in html_text.blocks_of(f"<p><a name=top>{line}</p><p>{line}</p>")[0]] == [0, 0]
     assert [x[2] for x in html_text.blocks_of('<p><a href="/x">link</a></p>')[0]] == [1.0]
+
+
+def test_short_pieces_merge_alike_from_the_table_of_two_bytes():
+    ranks = bpe.read_ranks(bpe.vocabulary())
+    table, r = bpe._two_bytes(ranks), random.Random(8)
+    for _ in range(2000):
+        piece = bytes(r.choice(b" aeinorst\xc3\xa9\xff") for _ in range(r.randrange(1, 40)))
+        assert bpe._merge_short(piece, ranks.get, table) == bpe._merge_short(piece, ranks.get) == bpe._merge_long(piece, ranks)
