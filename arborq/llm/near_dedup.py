@@ -4,9 +4,11 @@ A document's words give five-word k-mers, each labelled with its occurrence numb
 each of several hash functions the two least labelled k-mers are taken and kept in text order: one band.
 Two texts agree in a band about as often as the square of their k-mers' Jaccard similarity, so that texts
 whose words align in 0.8 still share one of the bands. Exact copies are one class from the start. In each
-bucket of a band every text is first aligned with one hub. All pairs of a bucket, whatever its size, that
-are then still in different components are candidates too: they meet in blocks of bounded size, so that a
-passage that many texts quote is work for many tasks. Bounds of lengths, words and word pairs part most.
+bucket of a band every text is first aligned with one hub. Texts of the buckets, whatever their size, that
+then still hold different components are joined exactly, by a prefix filter: two texts of which 0.8 of the words
+are shared share one of each text's first 0.2 of words, rarest first. So unlike texts that quote one passage
+do not meet by it. Texts that a word brings together and that a bound of shared words does not part hang
+together in places; a place's pairs are tried in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -27,8 +29,10 @@ from arborq.llm.common import checkpointed, components, release, table
 
 K, SAME, BANDS = 5, 0.8, 62
 PER_HUB = 64  # members for which a hub's text is sent once
-PER_BLOCK, BLOCK_WORDS = 512, 200_000
+PER_BLOCK, BLOCK_WORDS = 128, 100_000
 BINS, LEVELS = 1024, 4
+MERGES = 3  # times that places are put together, which saves trying a pair in each of them
+COMMON = 1 << 17  # more words than this are never listed as common ones
 _WORD = re.compile(r"\w+")
 _CELLS = 500_000
 
@@ -56,22 +60,27 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def labelled_kmers(words: np.ndarray) -> np.ndarray:
-    """Hashes of the K-word runs with their occurrence numbers; a shorter text is one run."""
-    n = max(1, len(words) - K + 1)
-    out = np.zeros(n, np.uint64)
-    for i in range(min(K, len(words))):
-        out = out * STEP[K] + words[i : i + n] * STEP[i]
-    order = np.argsort(out, kind="stable")
+def _labelled(hashes: np.ndarray) -> np.ndarray:
+    """Hashes (one at least) with their occurrence numbers."""
+    out, order = hashes.copy(), np.argsort(hashes, kind="stable")
     ranked = out[order]
     new = np.append(True, ranked[1:] != ranked[:-1])
     if not new.all():
-        place = np.arange(n)
+        place = np.arange(len(out))
         seen = place - np.maximum.accumulate(np.where(new, place, 0))
         out[order] = ranked + seen.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
     return _mixed(out)
 
 
+def labelled_kmers(words: np.ndarray) -> np.ndarray:
+    """Hashes of the K-word runs with their occurrence numbers; a shorter text is one run."""
+    n = max(1, len(words) - K + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(min(K, len(words))):
+        out = out * STEP[K] + words[i : i + n] * STEP[i]
+    return _labelled(out)
+
+
 def sketch(kmers: np.ndarray) -> np.ndarray:
     """One key for each band: the two least of some labelled k-mers (one at least) by its hash function, in text order."""
     n = len(kmers)
@@ -221,13 +230,13 @@ def _with_hubs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return checkpointed(both.mapInArrow(_tried, "a long, b long"))
 
 
-def _blocked(opened: DataFrame) -> DataFrame:
-    """Rows of open buckets (with their size and words) copied to the groups (*PLACE, lo, hi) in which block lo meets block hi.
+def _blocked(opened: DataFrame, times: int = 1) -> DataFrame:
+    """Rows of places (with their size and words) copied to the groups (*PLACE, lo, hi) in which block lo meets block hi.
 
-    A block has about PER_BLOCK rows and BLOCK_WORDS words (a text at least), whatever the bucket's size. Where a bucket takes several
+    A block has about `times` PER_BLOCK rows and BLOCK_WORDS words (a text at least), whatever the place's size. Where a place takes several
     blocks, its largest component has blocks of its own, which meet all others but not each other, as their texts are joined already.
     """
-    blocks = lambda rows, words: F.ceil(F.greatest(rows / PER_BLOCK, words / BLOCK_WORDS)).cast("int")
+    blocks = lambda rows, words: F.ceil(F.greatest(rows / (times * PER_BLOCK), words / BLOCK_WORDS)).cast("int")
     parts = opened.where(blocks(F.col("size"), F.col("words")) > 1).groupBy(*PLACE, "c").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("within"))
     core = parts.groupBy(*PLACE).agg(F.max(F.struct("rows", "c", "within")).alias("core"))
     dealt = opened.join(core.hint("merge"), PLACE, "left")
@@ -253,26 +262,26 @@ def _most_shared(profiles: list[tuple[np.ndarray, int]]):
     return lambda i, j: np.bitwise_count(bits[j] & bits[i]).sum(1, dtype=np.int64) + np.minimum(beyond[j], beyond[i])
 
 
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of a group's two blocks and whether these are one."""
+    block, lo, hi = group["block"].to_numpy(), group["lo"][0].as_py(), group["hi"][0].as_py()
+    left = np.flatnonzero(block == lo)
+    return left, left if lo == hi else np.flatnonzero(block == hi), lo == hi
+
+
 def _meeting(group: pa.Table) -> list[tuple[int, int]]:
     """Links (a, b) found among the pairs of one group whose components differ, the links found before among them.
 
-    A pair is tried in the first band that it shares. An edit changes one word and
-    two word pairs, which bounds the edit distance by the words and word pairs that are not shared.
+    An edit changes one word and two word pairs, which bounds the edit distance by the words and word pairs that are not shared.
     """
-    rep, n, block, top = (group[x].to_numpy().copy() for x in ("rep", "n", "block", "c"))
-    lo, hi, band = (group[x][0].as_py() for x in ("lo", "hi", "band"))
-    left = np.flatnonzero(block == lo)
-    right = left if lo == hi else np.flatnonzero(block == hi)
+    rep, n, top = (group[x].to_numpy().copy() for x in ("rep", "n", "c"))
+    left, right, one = _sides(group)
     if not len(left) or not len(right) or (top == top[0]).all():
         return []
-    bands = group["bands"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(group), -1)
-    earlier = np.ascontiguousarray(bands[:, :band].T)
-    first: list[tuple[int, np.ndarray]] = []  # pairs of which this band is the first shared one
+    first: list[tuple[int, np.ndarray]] = []  # pairs of fitting lengths
     for i in left:
-        j = right[(top[right] != top[i]) & ((rep[right] > rep[i]) | (lo != hi))]
+        j = right[(top[right] != top[i]) & ((rep[right] > rep[i]) | (not one))]
         j = j[np.minimum(n[j], n[i]) >= SAME * np.maximum(n[j], n[i])]
-        for at in range(0, band, 8):
-            j = j[~(earlier[at : at + 8, j] == earlier[at : at + 8, i, None]).any(0)] if len(j) else j
         if len(j):
             first.append((i, j))
     if not first:
@@ -296,8 +305,44 @@ def _meeting(group: pa.Table) -> list[tuple[int, int]]:
     return found
 
 
+def _hanging(group: pa.Table) -> list[tuple[int, int]]:
+    """Rows (place, text) of one group, one at most for each text: what hangs together as texts of different components that
+    the words' bound doesn't part is a place, named by its least text.
+    """
+    rep, n, c, beyond = (group[x].to_numpy() for x in ("rep", "n", "c", "beyond"))
+    left, right, one = _sides(group)
+    if not len(left) or not len(right) or (c == c[0]).all():
+        return []
+    bits = np.stack([np.frombuffer(x.as_py(), np.uint64) for x in group["bits"]])
+    shared, tree = _most_shared(list(zip(bits, beyond, strict=True))), np.arange(len(rep))
+    for i in left:
+        j = right[(c[right] != c[i]) & (tree[right] != tree[i]) & ((rep[right] > rep[i]) | (not one))]
+        j = j[np.minimum(n[j], n[i]) >= SAME * np.maximum(n[j], n[i])]
+        if not len(j):
+            continue
+        longest = np.maximum(n[j], n[i])
+        j = j[longest - shared(i, j) <= np.floor(longest * (1 - SAME) + 1e-9)]
+        if len(j):
+            tree[np.isin(tree, tree[j])] = tree[i]
+    _, of = np.unique(tree, return_inverse=True)
+    least = np.full(of.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, of, rep)
+    several = np.bincount(of) > 1
+    return [(int(least[t]), int(x)) for t, x in zip(of, rep, strict=True) if several[t]]
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within each group of rows that are sorted by group; one group is held at a time."""
+    """Links within each group."""
+    return _of_groups(batches, _meeting)
+
+
+def _hung(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of the texts that hang together within each group."""
+    return _of_groups(batches, _hanging)
+
+
+def _of_groups(batches: Iterator[pa.RecordBatch], pairs_of: Callable[[pa.Table], list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each group of rows that are sorted by group; one group is held at a time."""
     held: list[pa.RecordBatch] = []
     last = None
 
@@ -310,12 +355,12 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, k in enumerate(keys):
             if k != last:
                 held += [batch.slice(start, i - start)] if i > start else []
-                found += _meeting(pa.Table.from_batches(held)) if held else []
+                found += pairs_of(pa.Table.from_batches(held)) if held else []
                 held, start, last = [], i, k
         held.append(batch.slice(start))
         yield out(found)
     if held:
-        yield out(_meeting(pa.Table.from_batches(held)))
+        yield out(pairs_of(pa.Table.from_batches(held)))
 
 
 def _joined_further(joined: DataFrame, links: DataFrame) -> DataFrame:
@@ -328,7 +373,8 @@ def _joined_further(joined: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(old.unionByName(more.join(joined, "node", "left_anti").select("node", "component")))
 
 
-PLACE = ["band", "key"]
+BUCKET = ["band", "key"]
+PLACE = ["key"]
 GROUP = [*PLACE, "lo", "hi"]
 
 
@@ -337,9 +383,9 @@ def _members(sketches: DataFrame) -> DataFrame:
 
     The rows are dealt by bucket once, for counting and for joining the counts.
     """
-    filed = sketches.select("rep", "n", F.posexplode("bands").alias("band", "key")).repartition(*PLACE)
-    shared = filed.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub"), F.min_by("n", "rep").alias("hub_n")).where("size > 1")
-    return checkpointed(filed.join(shared.hint("merge"), PLACE).where("rep <> hub"))
+    filed = sketches.select("rep", "n", F.posexplode("bands").alias("band", "key")).repartition(*BUCKET)
+    shared = filed.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub"), F.min_by("n", "rep").alias("hub_n")).where("size > 1")
+    return checkpointed(filed.join(shared.hint("merge"), BUCKET).where("rep <> hub"))
 
 
 def _hubs_tried(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -349,18 +395,70 @@ def _hubs_tried(members: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _opened(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """Members of buckets whose texts beside the hub are in different components (c), with the bucket's words."""
-    inside = members.join(joined.hint("merge"), members["rep"] == joined["node"], "left").select(*PLACE, "rep", "n", "size", F.coalesce("component", "rep").alias("c"))
-    apart = inside.groupBy(*PLACE).agg(F.min("c").alias("least"), F.max("c").alias("most"), F.sum("n").alias("words")).where("least <> most")
-    return checkpointed(inside.join(apart.select(*PLACE, "words").hint("merge"), PLACE))
-
-
-def _paired(opened: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between members of open buckets, where every pair is tried."""
-    bands = F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")
-    marks = sketches.select("rep", bands).join(opened.select("rep").distinct().hint("merge"), "rep")
-    whole = marks.join(texts.withColumnRenamed("id", "rep").hint("merge"), "rep")
-    groups = _blocked(opened).join(whole.hint("merge"), "rep").select(*GROUP, "block", "rep", "n", "c", "bands", "text")
+    """Texts (rep, n, c) of buckets that beside the hub hold different components (c)."""
+    inside = members.join(joined.hint("merge"), members["rep"] == joined["node"], "left").select(*BUCKET, "rep", "n", F.coalesce("component", "rep").alias("c"))
+    apart = inside.groupBy(*BUCKET).agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most")
+    return checkpointed(inside.join(apart.select(*BUCKET).hint("merge"), BUCKET).select("rep", "n", "c").distinct())
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts (rep, n, c, text): hashes of their words with occurrence numbers, and the profile that bounds shared words."""
+    for batch in batches:
+        words = [hashes_of(words_of(text.as_py())) for text in batch.column(3)]
+        profiles = [_profile(x) for x in words]
+        columns = [
+            pa.array([_labelled(x).view(np.int64) for x in words], pa.list_(pa.int64())),
+            pa.array([bits.tobytes() for bits, _ in profiles], pa.binary()), pa.array([beyond for _, beyond in profiles], pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["rep", "n", "c", "words", "bits", "beyond"])
+
+
+def rarest(words: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The least words, by count (of the common ones, which are sorted) and hash, one of which every text alike has among its own least ones.
+
+    Of two texts that are alike the longer one has most_edits words at most that are not shared, the shorter one no more than its own most_edits.
+    """
+    at = np.minimum(np.searchsorted(common, words), max(0, len(common) - 1))
+    often = np.where(common[at] == words, counts[at], 0) if len(common) else np.zeros(len(words), np.int64)
+    return words[np.lexsort((words, often))[: most_edits(len(words)) + 1]]
+
+
+def _places(marked: DataFrame) -> DataFrame:
+    """Places (key) and their texts (rep): any two texts between which there may be a link share a place.
+
+    The order of words decides how many texts meet, not which links are found. Words counted often enough, which are COMMON at most, are collected.
+    """
+    total = marked.agg(F.sum("n")).first()[0] or 0
+    listed = marked.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, -(-total // COMMON))).toArrow()
+    common, counts = (listed[x].to_numpy() for x in ("word", "n"))
+    order = np.argsort(common)
+    common, counts = common[order], counts[order]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [rarest(words.values.to_numpy(), common, counts) for words in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keys, pa.list_(pa.int64()))], ["rep", "n", "c", "keys"])
+
+    filed = marked.select("rep", "n", "c", "words").mapInArrow(cut, "rep long, n long, c long, keys array<long>")
+    filed = filed.select("rep", "n", "c", F.explode("keys").alias("key")).repartition(*PLACE)
+    shared = filed.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most")
+    near = checkpointed(filed.join(shared.select(*PLACE, "size").hint("merge"), PLACE).withColumn("words", F.lit(0)))
+    groups = _blocked(near, 8).join(marked.select("rep", "bits", "beyond").hint("merge"), "rep").select(*GROUP, "block", "rep", "n", "c", "bits", "beyond")
+    hung = groups.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(_hung, "a long, b long")
+    places = checkpointed(hung.select(F.col("a").alias("key"), F.col("b").alias("rep")).distinct())
+    for _ in range(MERGES):  # a place goes over whole to the least place of the text that names it
+        least = places.groupBy(F.col("rep").alias("key")).agg(F.min("key").alias("into"))
+        places = checkpointed(places.join(least.hint("merge"), PLACE).select(F.col("into").alias("key"), "rep").distinct())
+    return places
+
+
+def _paired(opened: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between opened texts: all that there are, whether or not two texts share a bucket."""
+    whole = texts.withColumnRenamed("id", "rep")
+    marked = checkpointed(opened.join(whole.hint("merge"), "rep").select("rep", "n", "c", "text").mapInArrow(_marked, "rep long, n long, c long, words array<long>, bits binary, beyond long"))
+    placed = opened.join(_places(marked).hint("merge"), "rep").select("key", "rep", "n", "c")
+    sizes = placed.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words"))
+    groups = _blocked(placed.join(sizes.hint("merge"), PLACE)).join(whole.hint("merge"), "rep").select(*GROUP, "block", "rep", "n", "c", "text")
     return checkpointed(groups.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(_met, "a long, b long"))
 
 
@@ -399,10 +497,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     joined = components(linked)
     release(docs.sparkSession)
     opened = _opened(members, joined)
-    del members, linked
+    del members, linked, sketches
     release(docs.sparkSession)
-    links = _paired(opened, sketches, texts)
-    del opened, sketches, texts
+    links = _paired(opened, texts)
+    del opened, texts
     release(docs.sparkSession)
     joined = _joined_further(joined, links)
     of_copy = copies.join(joined, copies["id"] == joined["node"], "left").select("digest", F.coalesce("component", "id").alias("class_id"))
