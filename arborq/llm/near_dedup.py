@@ -5,13 +5,16 @@ each of several hash functions the two least labelled k-mers are taken and kept
 Two texts agree in a band about as often as the square of their k-mers' Jaccard similarity, so that texts
 whose words align in 0.8 still share one of the bands. Exact copies are one class from the start. In each
 bucket of a band every text is first aligned with one hub. All pairs of a bucket, whatever its size, that
-are then still in different components are candidates too: they meet in blocks of bounded size, so that a
-passage that many texts quote is work for many tasks. Bounds of lengths, words and word pairs part most.
+are then still in different components are candidates too. Buckets of one hub, and those whose hub lies in a
+larger one and that hold mostly its texts, are one place, so that texts which meet in many bands are paired
+once. A place's pairs meet in blocks of bounded size and of lengths that may link, so that a passage that many
+texts quote is work for many tasks. Bounds of lengths, words and word pairs part most.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +30,8 @@ from arborq.llm.common import checkpointed, components, release, table
 
 K, SAME, BANDS = 5, 0.8, 62
 PER_HUB = 64  # members for which a hub's text is sent once
-PER_BLOCK, BLOCK_WORDS = 512, 200_000
+PER_BLOCK, BLOCK_WORDS = 512, 100_000
+TIER = 1 / SAME + 0.001  # texts of lengths two tiers apart can't link
 BINS, LEVELS = 1024, 4
 _WORD = re.compile(r"\w+")
 _CELLS = 500_000
@@ -222,22 +226,31 @@ def _with_hubs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _blocked(opened: DataFrame) -> DataFrame:
-    """Rows of open buckets (with their size and words) copied to the groups (*PLACE, lo, hi) in which block lo meets block hi.
+    """Rows of places (with their size and words) copied to the groups (place, lo, hi) in which block lo meets block hi.
 
-    A block has about PER_BLOCK rows and BLOCK_WORDS words (a text at least), whatever the bucket's size. Where a bucket takes several
-    blocks, its largest component has blocks of its own, which meet all others but not each other, as their texts are joined already.
+    A block has about PER_BLOCK rows and BLOCK_WORDS words (a text at least), whatever the place's size. A place of several blocks has blocks
+    for each tier of lengths, which meet those of the same and the next tiers. A component that fills half a block or more and is the place's
+    largest has blocks of its own, which don't meet each other, as their texts are joined already.
     """
     blocks = lambda rows, words: F.ceil(F.greatest(rows / PER_BLOCK, words / BLOCK_WORDS)).cast("int")
-    parts = opened.where(blocks(F.col("size"), F.col("words")) > 1).groupBy(*PLACE, "c").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("within"))
-    core = parts.groupBy(*PLACE).agg(F.max(F.struct("rows", "c", "within")).alias("core"))
-    dealt = opened.join(core.hint("merge"), PLACE, "left")
-    cores = F.coalesce(blocks(F.col("core.rows"), F.col("core.within")), F.lit(0))
-    rest = F.greatest(blocks(F.col("size") - F.coalesce("core.rows", F.lit(0)), F.col("words") - F.coalesce("core.within", F.lit(0))), F.lit(1))
-    inner, spread = F.coalesce(F.col("c") == F.col("core.c"), F.lit(False)), F.xxhash64("rep")
-    block = F.when(inner, rest + F.pmod(spread, F.greatest(cores, F.lit(1)))).otherwise(F.pmod(spread, rest)).cast("int")
-    met = F.sequence(F.lit(0), F.when(inner, rest).otherwise(rest + cores) - 1)
-    cut = dealt.withColumn("block", block).withColumn("other", F.explode(met))
-    return cut.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "size", "words", "core")
+    of_place = blocks(F.col("size"), F.col("words"))
+    tier = F.when(of_place > 3, F.floor(F.log("n") / math.log(TIER))).otherwise(0).cast("long")
+    large = opened.where(of_place > 1)
+    parts = large.groupBy(*PLACE, "c").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("within"))
+    core = parts.where((F.col("rows") >= PER_BLOCK / 2) | (F.col("within") >= BLOCK_WORDS / 2)).groupBy(*PLACE).agg(F.max(F.struct("rows", "c"))["c"].alias("core"))
+    inner = F.coalesce(F.col("c") == F.col("core"), F.lit(False))
+    kinds = opened.join(core.hint("merge"), PLACE, "left").withColumn("kind", 2 * tier + inner.cast("long"))  # odd ones are of the largest component
+    cuts = kinds.where(of_place > 1).groupBy(*PLACE, "kind").agg(blocks(F.count(F.lit(1)), F.sum("n")).alias("cut"))
+    cuts = cuts.groupBy(*PLACE).agg(F.map_from_entries(F.collect_list(F.struct("kind", "cut"))).alias("cuts"))
+    at = lambda kind, i: F.shiftleft(kind, 32) + i.cast("long")
+    base = F.col("kind") - F.pmod("kind", F.lit(2))
+    near = F.filter(F.sequence(base - 2, base + 3), lambda k: F.map_contains_key("cuts", k) & ((F.pmod("kind", F.lit(2)) == 0) | (F.pmod(k, F.lit(2)) == 0)))
+    met = F.flatten(F.transform(near, lambda k: F.transform(F.sequence(F.lit(0), F.element_at("cuts", k) - 1), lambda i: at(k, i))))
+    dealt = kinds.join(cuts.hint("merge"), PLACE, "left")
+    whole, own = F.col("cuts").isNull(), F.pmod(F.xxhash64("rep"), F.element_at("cuts", F.col("kind")))
+    cut = dealt.withColumn("block", F.when(whole, F.lit(0)).otherwise(at(F.col("kind"), own)))
+    cut = cut.withColumn("other", F.explode(F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(met)))
+    return cut.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "size", "words", "core", "kind", "cuts")
 
 
 def _profile(hashes: np.ndarray) -> tuple[np.ndarray, int]:
@@ -256,23 +269,18 @@ def _most_shared(profiles: list[tuple[np.ndarray, int]]):
 def _meeting(group: pa.Table) -> list[tuple[int, int]]:
     """Links (a, b) found among the pairs of one group whose components differ, the links found before among them.
 
-    A pair is tried in the first band that it shares. An edit changes one word and
-    two word pairs, which bounds the edit distance by the words and word pairs that are not shared.
+    An edit changes one word and two word pairs, which bounds the edit distance by the words and word pairs that are not shared.
     """
     rep, n, block, top = (group[x].to_numpy().copy() for x in ("rep", "n", "block", "c"))
-    lo, hi, band = (group[x][0].as_py() for x in ("lo", "hi", "band"))
+    lo, hi = (group[x][0].as_py() for x in ("lo", "hi"))
     left = np.flatnonzero(block == lo)
     right = left if lo == hi else np.flatnonzero(block == hi)
     if not len(left) or not len(right) or (top == top[0]).all():
         return []
-    bands = group["bands"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(group), -1)
-    earlier = np.ascontiguousarray(bands[:, :band].T)
-    first: list[tuple[int, np.ndarray]] = []  # pairs of which this band is the first shared one
+    first: list[tuple[int, np.ndarray]] = []  # pairs of lengths that may link
     for i in left:
         j = right[(top[right] != top[i]) & ((rep[right] > rep[i]) | (lo != hi))]
         j = j[np.minimum(n[j], n[i]) >= SAME * np.maximum(n[j], n[i])]
-        for at in range(0, band, 8):
-            j = j[~(earlier[at : at + 8, j] == earlier[at : at + 8, i, None]).any(0)] if len(j) else j
         if len(j):
             first.append((i, j))
     if not first:
@@ -328,7 +336,7 @@ def _joined_further(joined: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(old.unionByName(more.join(joined, "node", "left_anti").select("node", "component")))
 
 
-PLACE = ["band", "key"]
+BUCKET, PLACE = ["band", "key"], ["place"]
 GROUP = [*PLACE, "lo", "hi"]
 
 
@@ -337,9 +345,9 @@ def _members(sketches: DataFrame) -> DataFrame:
 
     The rows are dealt by bucket once, for counting and for joining the counts.
     """
-    filed = sketches.select("rep", "n", F.posexplode("bands").alias("band", "key")).repartition(*PLACE)
-    shared = filed.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub"), F.min_by("n", "rep").alias("hub_n")).where("size > 1")
-    return checkpointed(filed.join(shared.hint("merge"), PLACE).where("rep <> hub"))
+    filed = sketches.select("rep", "n", F.posexplode("bands").alias("band", "key")).repartition(*BUCKET)
+    shared = filed.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub"), F.min_by("n", "rep").alias("hub_n")).where("size > 1")
+    return checkpointed(filed.join(shared.hint("merge"), BUCKET).where("rep <> hub"))
 
 
 def _hubs_tried(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -349,18 +357,37 @@ def _hubs_tried(members: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _opened(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """Members of buckets whose texts beside the hub are in different components (c), with the bucket's words."""
-    inside = members.join(joined.hint("merge"), members["rep"] == joined["node"], "left").select(*PLACE, "rep", "n", "size", F.coalesce("component", "rep").alias("c"))
-    apart = inside.groupBy(*PLACE).agg(F.min("c").alias("least"), F.max("c").alias("most"), F.sum("n").alias("words")).where("least <> most")
-    return checkpointed(inside.join(apart.select(*PLACE, "words").hint("merge"), PLACE))
-
-
-def _paired(opened: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between members of open buckets, where every pair is tried."""
-    bands = F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")
-    marks = sketches.select("rep", bands).join(opened.select("rep").distinct().hint("merge"), "rep")
-    whole = marks.join(texts.withColumnRenamed("id", "rep").hint("merge"), "rep")
-    groups = _blocked(opened).join(whole.hint("merge"), "rep").select(*GROUP, "block", "rep", "n", "c", "bands", "text")
+    """Texts (place, rep, n, c) of buckets that beside the hub hold different components (c); buckets of one hub are one place, named by it."""
+    inside = members.join(joined.hint("merge"), members["rep"] == joined["node"], "left").select(*BUCKET, "hub", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    apart = inside.groupBy(*BUCKET).agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most")
+    return checkpointed(inside.join(apart.select(*BUCKET).hint("merge"), BUCKET).select(F.col("hub").alias("place"), "rep", "n", "c").distinct())
+
+
+def _put_together(opened: DataFrame) -> DataFrame:
+    """Opened texts (place, rep, n, c), with places that hold mostly the same texts put together, which only adds pairs to those that meet.
+
+    A place goes over whole to the largest place that holds its hub and is no smaller. What goes to one place stays apart
+    where all pairs of the whole would be more than twice those of its parts.
+    """
+    sizes = checkpointed(opened.groupBy("place").agg(F.count(F.lit(1)).alias("size")))
+    own = sizes.select(F.col("place").alias("rep"), F.col("size").alias("own"))
+    holding = opened.select("place", "rep").join(own.hint("merge"), "rep").join(sizes.hint("merge"), "place").where("size >= own")
+    into = holding.groupBy(F.col("rep").alias("place")).agg((-F.max(F.struct("size", (-F.col("place")).alias("at")))["at"]).alias("into"))
+    going = checkpointed(sizes.join(into.hint("merge"), "place", "left").select("place", "size", F.coalesce("into", "place").alias("into")))
+    apart = going.groupBy("into").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("apart"))
+    moved = opened.join(going.select("place", "into").hint("merge"), "place")
+    whole = moved.select("into", "rep").distinct().groupBy("into").agg(F.count(F.lit(1)).cast("double").alias("whole"))
+    worth = apart.join(whole.hint("merge"), "into").where(F.col("whole") * F.col("whole") <= 2 * F.col("apart")).select(F.col("into").alias("taken"))
+    placed = moved.join(worth.hint("merge"), F.col("into") == F.col("taken"), "left")
+    return checkpointed(placed.select(F.coalesce("taken", "place").alias("place"), "rep", "n", "c").distinct())
+
+
+def _paired(opened: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between texts of the same places, where every pair is tried."""
+    placed = _put_together(opened)
+    sizes = placed.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words"))
+    groups = _blocked(placed.join(sizes.hint("merge"), PLACE)).join(texts.withColumnRenamed("id", "rep").hint("merge"), "rep")
+    groups = groups.select(*GROUP, "block", "rep", "n", "c", "text")
     return checkpointed(groups.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(_met, "a long, b long"))
 
 
@@ -388,6 +415,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     del sketched, own  # what nothing refers to any more is released
     release(docs.sparkSession)
     members = _members(sketches)
+    del sketches
     release(docs.sparkSession)
     involved = members.select(F.explode(F.array("rep", "hub")).alias("id")).distinct()
     wanted = involved.join(copies.select("id", "tie").hint("merge"), "id")
@@ -401,8 +429,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     opened = _opened(members, joined)
     del members, linked
     release(docs.sparkSession)
-    links = _paired(opened, sketches, texts)
-    del opened, sketches, texts
+    links = _paired(opened, texts)
+    del opened, texts
     release(docs.sparkSession)
     joined = _joined_further(joined, links)
     of_copy = copies.join(joined, copies["id"] == joined["node"], "left").select("digest", F.coalesce("component", "id").alias("class_id"))

@@ -1,5 +1,6 @@
 """Cases of the first round's advice."""
 
+import itertools
 import random
 
 import numpy as np
@@ -69,6 +70,48 @@ def test_near_dedup_meets_a_hot_bucket_in_bounded_groups(spark, monkeypatch):
     assert sorted(tuple(sorted((int(a[1:]), int(b[1:])))) for a, b in tried) == [(a, b) for a in range(64) for b in range(a + 1, 64)]
 
 
+def test_near_dedup_copies_a_quoted_passage_once_for_all_bands(spark, monkeypatch):
+    """A passage in 300 unlike texts opens a bucket in most bands; the texts go to blocks about once, not once for each band, and the alike are found."""
+    word, copied = itertools.count(), []
+    own = [[f"w{next(word)}" for _ in range(60 + i % 40)] for i in range(300)]
+    passage = [f"p{i}" for i in range(100)]
+    rows = [(i, " ".join(passage + w)) for i, w in enumerate(own)]
+    rows.append((300, " ".join(passage + own[200][:-5] + [f"w{next(word)}" for _ in range(5)])))
+    blocked = near_dedup._blocked
+    monkeypatch.setattr(near_dedup, "_blocked", lambda opened: copied.append(blocked(opened)) or copied[-1])
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 200 if i == 300 else i for i in range(301)} and copied[-1].count() <= 3 * len(rows)
+
+
+def test_near_dedup_blocks_hold_every_pair_that_may_link_once(spark, monkeypatch):
+    """Places of one and of many blocks, with and without a component of half a block or more: each pair of fitting lengths meets in one group."""
+    monkeypatch.setattr(near_dedup, "PER_BLOCK", 8)
+    r = random.Random(4)
+    rows = [(place, i, r.choice([1, 2, 4, 5, r.randrange(1, 400), 80, 100]), i if r.random() < share else -1) for place, size, share in ((1, 5, 1), (2, 20, 0.5), (3, 150, 1), (4, 150, 0.6)) for i in range(size)]
+    placed = spark.createDataFrame(rows, "place long, rep long, n long, c long")
+    sizes = placed.groupBy("place").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words"))
+    met = {}
+    for x in near_dedup._blocked(placed.join(sizes, "place")).collect():
+        met.setdefault((x["place"], x["lo"], x["hi"]), []).append(x)
+    pairs = [
+        (place, *sorted((a["rep"], b["rep"])))
+        for (place, lo, hi), group in met.items()
+        for a in group if a["block"] == lo
+        for b in group if b["block"] == hi and (lo != hi or a["rep"] < b["rep"])
+    ]
+    fit = {(p, i, j) for p, i, n, c in rows for q, j, m, d in rows if p == q and i < j and min(n, m) >= 0.8 * max(n, m) and (c, d) != (-1, -1)}
+    assert len(pairs) == len(set(pairs)) and fit <= set(pairs)
+
+
+def test_near_dedup_puts_places_together_where_they_hold_the_same_texts(spark):
+    """Place 20 lies nearly in place 10, which holds its hub; place 30, whose hub it holds too, has other texts and would make many more pairs."""
+    rows = [(10, i) for i in range(11, 61)] + [(20, i) for i in range(21, 62)]
+    assert {r["place"] for r in near_dedup._put_together(spark.createDataFrame([(*x, 9, x[1]) for x in rows], "place long, rep long, n long, c long")).collect()} == {10}
+    rows = [(10, i) for i in range(11, 61)] + [(h, i) for h in range(20, 60) for i in range(1000 * h, 1000 * h + 20)]
+    kept = near_dedup._put_together(spark.createDataFrame([(*x, 9, x[1]) for x in rows], "place long, rep long, n long, c long"))
+    assert sorted((r["place"], r["rep"]) for r in kept.collect()) == sorted(rows)
+
+
 def test_pipeline_shows_the_mix_after_a_parquet_reread(spark, tmp_path, monkeypatch):
     rows = [(i, f"text number {i}", "en", "a" if i % 4 else "b", 1) for i in range(200)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
